@@ -35,6 +35,7 @@ HOMOGLYPHS = dict(zip("аеорсухіјѕԁһԛѡвнкмтαεορυιντκ
 #: Digits and signs that stand for letters inside a word.
 LEET = str.maketrans("0134578@$!", "oleastbasi")
 FOLD = str.maketrans(HOMOGLYPHS)
+MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 TOKEN = re.compile(r"[^\W_]+(?:[@$!]+[^\W_]+)*|[@$][^\W_]+")
 MIXED = re.compile(r"[a-z]*(?:[a-z][0134578@$!]+|[0134578@$!]+[a-z])[a-z0-9@$!]*")
 
@@ -43,7 +44,7 @@ def fold(text: str) -> list[str]:
     """Words of a text in the form that the lexicon has."""
     low = text.lower()
     if not low.isascii():
-        low = "".join(c for c in unicodedata.normalize("NFKD", low.translate(FOLD)) if not unicodedata.combining(c))
+        low = MARKS.sub("", unicodedata.normalize("NFKD", low.translate(FOLD)))
     words = TOKEN.findall(low)
     return [w if w.isalpha() else w.translate(LEET) if MIXED.fullmatch(w) else w for w in words]
 
