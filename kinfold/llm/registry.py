@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .op1_secrets import op1_secrets
 from .op2_sentencepiece import op2_sentencepiece
 from .op3_toxicity import op3_toxicity
+from .op4_jaccard import op4_jaccard
 from .op8_decontaminate import OP8_SQL, op8_decontaminate
 from .op9_quality import op9_quality
 
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_toxicity": op3_toxicity,
+    "op4_jaccard": op4_jaccard,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
 }
