@@ -10,6 +10,8 @@ from .op1_secrets import op1_secrets
 from .op2_sentencepiece import op2_sentencepiece
 from .op3_toxicity import op3_toxicity
 from .op4_jaccard import op4_jaccard
+from .op6_sharding import OP6_SQL, op6_sharding
+from .op7_tokens import op7_tokens
 from .op8_decontaminate import OP8_SQL, op8_decontaminate
 from .op9_quality import op9_quality
 
@@ -18,8 +20,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_toxicity": op3_toxicity,
     "op4_jaccard": op4_jaccard,
+    "op6_sharding": op6_sharding,
+    "op7_tokens": op7_tokens,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_decontaminate": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_sharding": OP6_SQL, "op8_decontaminate": OP8_SQL}
