@@ -10,6 +10,7 @@ from .op1_secrets import op1_secrets
 from .op2_sentencepiece import op2_sentencepiece
 from .op3_toxicity import op3_toxicity
 from .op4_jaccard import op4_jaccard
+from .op5_pii import op5_pii
 from .op6_sharding import OP6_SQL, op6_sharding
 from .op7_tokens import op7_tokens
 from .op8_decontaminate import OP8_SQL, op8_decontaminate
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_toxicity": op3_toxicity,
     "op4_jaccard": op4_jaccard,
+    "op5_pii": op5_pii,
     "op6_sharding": op6_sharding,
     "op7_tokens": op7_tokens,
     "op8_decontaminate": op8_decontaminate,
