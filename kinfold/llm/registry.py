@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op10_licenses import op10_licenses
 from .op1_secrets import op1_secrets
 from .op2_sentencepiece import op2_sentencepiece
 from .op3_toxicity import op3_toxicity
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_tokens": op7_tokens,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_sharding": OP6_SQL, "op8_decontaminate": OP8_SQL}
