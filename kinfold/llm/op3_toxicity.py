@@ -228,6 +228,12 @@ def score(docs: DataFrame, lex: Lexicon, keep: tuple[str, ...] = ()) -> DataFram
     )
 
 
+def keep_clean(docs: DataFrame, lex: Lexicon) -> DataFrame:
+    """docs without the texts that score 0.5 or more; all columns stay as they are."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("kinfold_keep", T.BooleanType())])
+    return map_texts(docs, lambda _, texts: {"kinfold_keep": [lex.score(x) < 0.5 for x in texts]}, schema).where("kinfold_keep").drop("kinfold_keep")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")

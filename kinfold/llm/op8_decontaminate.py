@@ -19,6 +19,8 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -170,14 +172,14 @@ def blocks(items: DataFrame, most: int) -> list[list[tuple[int, list[bytes]]]]:
     return out
 
 
-HITS = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.LongType())), T.StructField("hit_items", T.ArrayType(T.LongType()))]
+HITS = [T.StructField("kinfold_words", T.LongType()), T.StructField("kinfold_spans", T.ArrayType(T.LongType())), T.StructField("kinfold_items", T.ArrayType(T.LongType()))]
 
 
 def with_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int = BLOCK_WORDS) -> DataFrame:
-    """docs with n_words, hit_spans (start and end word of each stretch in turn) and hit_items."""
+    """docs with kinfold_words (their number), kinfold_spans (start and end word of each stretch in turn) and kinfold_items."""
     schema = T.StructType([*docs.schema.fields, *HITS])
     empty = F.array().cast("array<bigint>")
-    out = docs.withColumn("n_words", F.lit(0).cast("long")).withColumn("hit_spans", empty).withColumn("hit_items", empty)
+    out = docs.withColumn("kinfold_words", F.lit(0).cast("long")).withColumn("kinfold_spans", empty).withColumn("kinfold_items", empty)
     todo = blocks(items, most)
     for k, block in enumerate(todo):
         key = hashlib.sha256(repr((window, block)).encode()).hexdigest()
@@ -185,14 +187,14 @@ def with_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int
         def f(part, texts: list[bytes], block=block, key=key) -> dict:
             a = automaton(block, window, key)
             n, spans, found = [], [], []
-            before = zip(part.column(part.schema.get_field_index("hit_spans")).to_pylist(), part.column(part.schema.get_field_index("hit_items")).to_pylist(), strict=True)
+            before = zip(part.column(part.schema.get_field_index("kinfold_spans")).to_pylist(), part.column(part.schema.get_field_index("kinfold_items")).to_pylist(), strict=True)
             for text, (old, had) in zip(texts, before, strict=True):
                 words = words_of(text)
                 got, ids = a.hits(words)
                 n.append(len(words))
                 spans.append([x for s in joined([*zip(old[::2], old[1::2], strict=True), *got]) for x in s])
                 found.append(sorted(ids | set(had)))
-            return {"n_words": n, "hit_spans": spans, "hit_items": found}
+            return {"kinfold_words": n, "kinfold_spans": spans, "kinfold_items": found}
 
         out = map_texts(out, f, schema, as_bytes=True)
         if k + 1 < len(todo):
@@ -212,46 +214,36 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per row of docs: words, hit words, items that occur."""
-    n_hit = F.aggregate(F.sequence(F.lit(0), F.size("hit_spans") - 1), F.lit(0).cast("long"), lambda acc, i: acc + F.when(i % 2 == 1, F.get("hit_spans", i)).otherwise(-F.get("hit_spans", i)))
-    ids = F.array_join(F.array_sort(F.transform("hit_items", lambda x: x.cast("string"))), ",")
+    n_hit = F.aggregate(F.sequence(F.lit(0), F.size("kinfold_spans") - 1), F.lit(0).cast("long"), lambda acc, i: acc + F.when(i % 2 == 1, F.get("kinfold_spans", i)).otherwise(-F.get("kinfold_spans", i)))
+    ids = F.array_join(F.array_sort(F.transform("kinfold_items", lambda x: x.cast("string"))), ",")
     return (
         with_hits(docs.select("doc_id", "text"), items, window)
-        .withColumn("n_hit", F.when(F.size("hit_spans") > 0, n_hit).otherwise(F.lit(0).cast("long")))
-        .select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+        .withColumn("n_hit", F.when(F.size("kinfold_spans") > 0, n_hit).otherwise(F.lit(0).cast("long")))
+        .select("doc_id", F.col("kinfold_words").alias("n_words"), "n_hit", F.size("kinfold_items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
     )
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
     """docs with hit words cut out of text; documents covered to so many percent or more are left out."""
-    import pyarrow.compute as pc
-
-    names = docs.columns
     todo = blocks(items, BLOCK_WORDS)
-    base = docs if len(todo) > 1 else None
-    if base is not None:
-        found = with_hits(docs, items, window)
-    else:
-        found = None
-
+    found = with_hits(docs, items, window) if len(todo) > 1 else docs
     key = hashlib.sha256(repr((window, todo[0])).encode()).hexdigest()
     block = todo[0]
     schema = T.StructType([*docs.schema.fields, T.StructField("kinfold_keep", T.BooleanType())])
 
     def f(part, texts: list[bytes]) -> dict:
         new, keep = [], []
-        has = part.column(part.schema.get_field_index("hit_spans")).to_pylist() if "hit_spans" in part.schema.names else None
+        has = part.column(part.schema.get_field_index("kinfold_spans")).to_pylist() if "kinfold_spans" in part.schema.names else None
         for i, text in enumerate(texts):
             if has is None:
                 words = words_of(text)
                 spans, n = automaton(block, window, key).hits(words)[0], len(words)
             else:
                 s = has[i]
-                spans, n = list(zip(s[::2], s[1::2], strict=True)), part.column(part.schema.get_field_index("n_words"))[i].as_py()
+                spans, n = list(zip(s[::2], s[1::2], strict=True)), part.column(part.schema.get_field_index("kinfold_words"))[i].as_py()
             hit = sum(b - a for a, b in spans)
             keep.append(not hit or 100 * hit < coverage * n)
             new.append(without(text, spans) if hit else text)
-        import pyarrow as pa
-
         old = part.column(part.schema.get_field_index("text"))
         fresh = pa.array(new, pa.binary()).cast(pa.string())
         out = {"text": pc.if_else(old.is_null(), pa.scalar(None, pa.string()), fresh), "kinfold_keep": keep}
@@ -261,7 +253,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, covera
             out["n_chars"] = pc.if_else(pc.equal(pc.fill_null(old, ""), fresh), part.column(part.schema.get_field_index("n_chars")), now)
         return out
 
-    return map_texts(found if found is not None else docs, f, schema, as_bytes=True).where("kinfold_keep").select(*names)
+    return map_texts(found, f, schema, as_bytes=True).where("kinfold_keep").drop("kinfold_keep")
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
