@@ -32,8 +32,8 @@ MAX_TRAIN, MAX_ENTRIES = 20_000, 4_000
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһԛѡвнкмтαεορυιντκβ", "aeopcyxijsdhqwbhkmtaeopuivtkb", strict=True)) | {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ı": "i"}
-#: Digits and signs that stand for letters inside a word.
-LEET = str.maketrans("0134578@$!", "oleastbasi")
+#: Digits and signs that stand for letters inside a word. 1 stands for i or l; fold() writes l as i everywhere.
+LEET = str.maketrans("0134578@$!", "oieastbasi")
 FOLD = str.maketrans(HOMOGLYPHS)
 MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 TOKEN = re.compile(r"[^\W_]+(?:[@$!]+[^\W_]+)*|[@$][^\W_]+")
@@ -45,7 +45,7 @@ def fold(text: str) -> list[str]:
     low = text.lower()
     if not low.isascii():
         low = MARKS.sub("", unicodedata.normalize("NFKD", low.translate(FOLD)))
-    words = TOKEN.findall(low)
+    words = TOKEN.findall(low.replace("l", "i"))
     return [w if w.isalpha() else w.translate(LEET) if MIXED.fullmatch(w) else w for w in words]
 
 
@@ -130,7 +130,7 @@ def chosen(counts: list[tuple[str, int, int]], n_pos: int, n_neg: int) -> dict[s
     for w, p, n in sorted(counts, key=lambda x: (len(x[0]), x[0])):
         odds = math.log((p + 0.5) / (n_pos + 1)) - math.log((n + 0.5) / (n_neg + 1))
         shorter = max((weights.get(w[:k], 0.0) for k in range(3, len(w))), default=0.0)
-        if odds >= 2.0 and odds > shorter + 0.7 and _surprise(p, n, n_pos, n_neg) > 20:
+        if odds >= 1.2 and odds > shorter + 0.7 and _surprise(p, n, n_pos, n_neg) > 20:
             weights[w] = odds
     return weights
 
@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, max_ent
     n_pos, n_neg = n.get(True, 0), n.get(False, 0)
     lex = Lexicon({}, {}, (-30.0, 0.0, 0.0))
     if n_pos and n_neg:
-        top = counted(rows).where("pos >= 3 and pos * %d > 3 * neg * %d" % (n_neg, n_pos)).orderBy(F.desc("pos"), "entry").limit(max_entries * 10)
+        top = counted(rows).where("pos >= 3 and pos * %d > 2 * neg * %d" % (n_neg, n_pos)).orderBy(F.desc("pos"), "entry").limit(max_entries * 10)
         weights = chosen([tuple(r) for r in top.collect()], n_pos, n_neg)
         weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:max_entries])
         lex = Lexicon(weights, {}, lex.curve)

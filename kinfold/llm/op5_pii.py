@@ -10,8 +10,8 @@ change with it.
 
 Collision check: all distinct entities of the corpus with their surrogates are aggregated. Where two entities share a
 surrogate, or a surrogate is itself an entity of the corpus, all but the first get the next permutation, until nothing
-collides. These exceptions are few; they are sent to all tasks, and if there were more than MAX_EXCEPTIONS, words get one
-more syllable and the check starts again.
+collides. These exceptions are few; they are sent to all tasks. If there were more than MAX_EXCEPTIONS, or entities still
+shared surrogates after ATTEMPTS permutations, words get one more syllable and the check starts again.
 
 Defined cases: null stays null and empty stays empty; texts without entities are unchanged; overlapping finds count once,
 in the order mail, IBAN, address, card, social security number, phone, name; texts are searched whole; repeated rows give
@@ -316,6 +316,9 @@ def checked(docs: DataFrame, key: bytes = KEY, syllables: int = 4) -> Surrogates
         make = Surrogates(key, syllables, make.exceptions | {(r["kind"], r["entity"]): attempt for r in rows})
         old, all_ = all_, cut(entities(docs, make), "entities")
         discard(spark, old)
+    else:
+        discard(spark, all_)
+        return checked(docs, key, syllables + 1)
     discard(spark, all_)
     return make
 
