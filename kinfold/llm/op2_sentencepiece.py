@@ -4,8 +4,9 @@ Encoding by a prefix table: the encoding of every prefix of a word ends in a uni
 Aho-Corasick automaton over all pieces lists the pieces that end there, longest first; the first that the merges leave
 whole, and that is compatible with the last token of the prefix before it, is the last token. Two tokens are compatible
 when merging their joint text gives just these two; results of that test are kept. The ids are then read backwards from
-the last prefix. A text is first cut where no piece of the vocabulary can cross, and the ids of cut parts are kept, so the
-work is in proportion to the distinct parts.
+the last prefix. The test undoes the merges of both tokens step by step, last first, and looks whether at some step the
+merges would have joined across the boundary. A text is first cut where no piece of the vocabulary can cross: at white space, then inside what lies
+between. What a cut part encodes and decodes to is kept, so the work is in proportion to the distinct parts.
 
 Defined cases: null counts as empty; an empty text has no ids and decodes to an empty text; characters outside of the
 vocabulary become byte pieces; texts of any length are taken whole; repeated rows give repeated results; an empty table
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ class Codec:
     most: parts whose ids are kept at a time; longest: of characters in a part that is kept.
     """
 
-    def __init__(self, model_file: str, most: int = 300_000, longest: int = 48):
+    def __init__(self, model_file: str, most: int = 500_000, longest: int = 32):
         import ahocorasick
         import sentencepiece
 
@@ -43,21 +45,27 @@ class Codec:
         self.pieces = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
         normal = [i for i in range(sp.vocab_size()) if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in normal}
-        self.rank = {i: -sp.get_score(i) for i in normal}
+        self.rank = {i: k for k, i in enumerate(sorted(normal, key=lambda i: (-sp.get_score(i), i)))}
         self.byte = {int(self.pieces[i][3:5], 16): i for i in range(sp.vocab_size()) if sp.is_byte(i)}
         self.value = {i: b for b, i in self.byte.items()}
         self.control = {i for i in range(sp.vocab_size()) if sp.is_control(i)}
         self.unknown = sp.unk_id()
+        self.special = frozenset({*self.value, *self.control, self.unknown})
         self.chars = {c for p in self.ids for c in p}
         self.compatible: dict[int, bool] = {}
         self.auto = ahocorasick.Automaton()
         # Every character of the vocabulary on its own is a piece; a piece that merging does not reach never ends a prefix.
+        self.halves: dict[int, tuple[int, int]] = {}
         for p, i in self.ids.items():
             if self.merged(p) == [i]:
                 self.auto.add_word(p, (i, len(p)))
+                if len(p) > 1:
+                    self.halves[i] = tuple(self.merged(p, 2))
         self.auto.make_automaton()
         self.part = re.compile(self._cuts())
-        self.known: dict[str, tuple[bytes, str, int]] = {}
+        #: What is known of words by themselves, and of words with a space in front: ids, decimals, number, decoded.
+        self.known: tuple[dict[str, tuple], dict[str, tuple]] = ({}, {})
+        self.lines = "\n" not in self.chars and self.part.pattern != r"(?s:.+)"
 
     def _cuts(self) -> str:
         """A pattern of parts: a new one begins wherever no piece holds both characters side by side.
@@ -73,8 +81,8 @@ class Codec:
         word = rf"{SPACE}*[^{SPACE}]+|{SPACE}+" if mixed else rf"{SPACE}*[^\W\d_]+|{SPACE}*[^{SPACE}\W\d_]+|{SPACE}*[\W\d_]+?(?=[{SPACE}]|[^\W\d_]|$)|{SPACE}+"
         return rf"(?s:{word})"
 
-    def merged(self, text: str) -> list[int]:
-        """Plain merging: of all neighbours whose joint text is a piece, the best ranked, leftmost first."""
+    def merged(self, text: str, least: int = 1) -> list[int]:
+        """Plain merging: of all neighbours whose joint text is a piece, the best ranked, leftmost first; until least are left."""
         ids, rank = self.ids, self.rank
         sym: list[str | None] = list(text)
         nxt, prv = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
@@ -87,11 +95,13 @@ class Codec:
 
         for a in range(len(sym)):
             offer(a)
-        while heap:
+        left = len(sym)
+        while heap and left > least:
             _, a, b, both = heapq.heappop(heap)
             if sym[a] is None or sym[b] is None or nxt[a] != b or sym[a] + sym[b] != both:
                 continue
             sym[a], sym[b], nxt[a] = both, None, nxt[b]
+            left -= 1
             if nxt[a] < len(sym):
                 prv[nxt[a]] = a
             offer(a)
@@ -105,9 +115,29 @@ class Codec:
         if known is None:
             if len(self.compatible) > 2_000_000:
                 self.compatible.clear()
-            known = self.compatible[key] = self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
+            known = self.compatible[key] = self.apart(a, b)
         return known
 
+    def apart(self, a: int, b: int) -> bool:
+        """Whether merging the joint text of two tokens gives just these two.
+
+        x and y are the tokens on either side of the boundary at a time; limit is the rank of the merge that took one of
+        them up. Of equal merges the left one comes first.
+        """
+        ids, rank, halves, pieces = self.ids, self.rank, self.halves, self.pieces
+        x, y, limit = a, b, len(pieces)
+        while True:
+            both = ids.get(pieces[x] + pieces[y])
+            if both is not None and rank[both] < limit:
+                return False
+            left, right = halves.get(x), halves.get(y)
+            if left is not None and (right is None or rank[x] > rank[y]):
+                limit, x = rank[x], left[1]
+            elif right is not None:
+                limit, y = rank[y] + 1, right[0]
+            else:
+                return True
+
     def run(self, text: str) -> list[int]:
         """Ids of a text all of whose characters are in the vocabulary."""
         last, size = [-1] * (len(text) + 1), [0] * (len(text) + 1)
@@ -141,31 +171,60 @@ class Codec:
                 at = k + 1
         return out + (self.run(part[at:]) if at < len(part) else [])
 
-    def keep(self, part: str) -> tuple[bytes, str, int]:
-        ids = self.part_ids(part)
-        got = (np.array(ids, dtype="<i4").tobytes(), ",".join(map(str, ids)), len(ids))
-        if len(part) <= self.longest:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            self.known[part] = got
+    def entry(self, parts: list[str]) -> tuple[bytes, str, int, str]:
+        """(ids as little-endian 32-bit numbers, as decimals with commas, their number, what they decode to)."""
+        ids = self.part_ids(parts[0]) if len(parts) == 1 else [i for p in parts for i in self.part_ids(p)]
+        return array("i", ids).tobytes(), ",".join(map(str, ids)), len(ids), self.decode(ids, False)
+
+    def word(self, w: str, spaced: int) -> tuple[bytes, str, int, str]:
+        """The entry of a word with or without a space in front; a stop or comma behind it is looked up by itself."""
+        known = self.known[spaced]
+        if len(w) > 1 and w[-1] in ".," and w[-2].isalpha():
+            body = known.get(w[:-1]) or self.word(w[:-1], spaced)
+            tail = self.known[0].get(w[-1]) or self.word(w[-1], 0)
+            got = (body[0] + tail[0], f"{body[1]},{tail[1]}", body[2] + tail[2], body[3] + tail[3])
+        else:
+            got = self.entry(self.part.findall(SPACE + w if spaced else w))
+        if len(w) <= self.longest:
+            if len(known) >= self.most:
+                known.clear()
+            known[w] = got
         return got
 
-    def encoded(self, text: str) -> tuple[bytes, str, int]:
-        """(ids as little-endian 32-bit numbers, ids as decimals with commas, number of ids)."""
+    def encoded(self, text: str) -> tuple[bytes, str, int, str]:
+        """The entry of a text, without the space that encoding puts in front in what it decodes to."""
         if not text:
-            return b"", "", 0
-        known = self.known.get
-        got = [known(p) or self.keep(p) for p in self.part.findall(SPACE + text.replace(" ", SPACE))]
-        return b"".join([x[0] for x in got]), ",".join([x[1] for x in got]), sum([x[2] for x in got])
+            return b"", "", 0, ""
+        if "  " in text or text[0] == " " or SPACE in text or not self.lines:
+            return self.joined([self.entry(self.part.findall(SPACE + text.replace(" ", SPACE)))])
+        alone, after = self.known[0].get, self.known[1].get
+        got = []
+        for k, line in enumerate(text.split("\n")):
+            first, *rest = line.split(" ")
+            if k:
+                got.append(alone("\n") or self.word("\n", 0))
+                if first:
+                    got.append(alone(first) or self.word(first, 0))
+            else:
+                got.append(after(first) or self.word(first, 1))
+            got += [after(w) or self.word(w, 1) for w in rest]
+        return self.joined(got)
+
+    @staticmethod
+    def joined(got: list[tuple]) -> tuple[bytes, str, int, str]:
+        ids, decimals, n, back = zip(*got, strict=True)
+        out = "".join(back)
+        return b"".join(ids), ",".join(decimals), sum(n), out[1:] if out[:1] == " " else out
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encoded(text)[0], dtype="<i4").tolist()
 
-    def decode(self, ids: list[int] | np.ndarray) -> str:
-        """Text of ids: pieces joined, spaces restored, the space that encoding put in front taken off."""
-        out: list[bytes | str] = []
+    def decode(self, ids: list[int] | np.ndarray, first: bool = True) -> str:
+        """Text of ids: pieces joined, spaces restored, the space that encoding put in front taken off (if first)."""
+        if not first and not self.special.intersection(ids):
+            return "".join([self.pieces[i] for i in ids]).replace(SPACE, " ")
+        out: list[str] = []
         raw = bytearray()
-        first = True
         for i in ids if isinstance(ids, list) else ids.tolist():
             if i in self.value:
                 raw.append(self.value[i])
@@ -232,10 +291,10 @@ def encode(docs: DataFrame, model_file: str, with_ids: bool = False, keep: tuple
         out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
         raw = []
         for text in texts:
-            ids, decimals, n = c.encoded(text)
+            ids, decimals, n, back = c.encoded(text)
             out["n_tokens"].append(n)
             out["ids_sha256"].append(hashlib.sha256(decimals.encode()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(decoded(c, ids).encode()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
             raw.append(ids)
         if with_ids:
             ends = np.cumsum([0, *(len(x) // 4 for x in raw)])
@@ -245,9 +304,5 @@ def encode(docs: DataFrame, model_file: str, with_ids: bool = False, keep: tuple
     return map_texts(docs.select("doc_id", "text", *keep), f, schema)
 
 
-def decoded(c: Codec, ids: bytes) -> str:
-    return c.decode(np.frombuffer(ids, dtype="<i4"))
-
-
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), model_path())
