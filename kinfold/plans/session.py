@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 
 PACKAGE = Path(__file__).resolve().parents[1]
 _shipped: set[str] = set()
+#: Rows of an Arrow batch, unless the session has its own setting.
+ROWS = "1500"
 
 
 def session(app: str = "kinfold", **conf: str) -> SparkSession:
@@ -22,7 +24,10 @@ def session(app: str = "kinfold", **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application, unless their path has it already."""
+    """Bound Arrow batches, and send this package to the executors unless their path has it already (once an application)."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        # Rows of whole texts: the usual batch of 10,000 would hold tens of megabytes on either side of each worker.
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
