@@ -38,7 +38,7 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 def ids_of(c: Column) -> Column:
     """A comma list as an array without blanks; null and empty as an empty array."""
-    return F.filter(F.transform(F.split(F.trim(F.coalesce(c, F.lit(""))), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.trim(F.coalesce(c, F.lit(""))), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def truth_links(truth: DataFrame) -> DataFrame:
