@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,30 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: What operators keep between batches of a Python worker, by module: functions that give it up.
+_kept: dict[str, Callable[[], None]] = {}
+_current: list[str] = []
+
+
+def keeps(module: str, clear: Callable[[], None]) -> None:
+    _kept[module] = clear
+
+
+def enter(module: str) -> None:
+    """A worker serves one operator after the other; what the others have kept goes when a new one begins."""
+    if _current and _current[0] != module:
+        for name, clear in _kept.items():
+            if name != module:
+                clear()
+        try:
+            import ctypes
+
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass
+    _current[:] = [module]
+
+
 def map_texts(df: DataFrame, f: Callable[[pa.RecordBatch, list], dict], schema: T.StructType, text: str = "text", as_bytes: bool = False) -> DataFrame:
     """Apply f to slices of rows in Arrow batches.
 
@@ -75,6 +100,7 @@ def map_texts(df: DataFrame, f: Callable[[pa.RecordBatch, list], dict], schema:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(schema)
+        enter(f.__module__)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 part = whole.slice(at, SLICE)
@@ -113,26 +139,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, as a numpy array. Keeps what it has seen, up to a number of words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         from xxhash import xxh3_64_intdigest
 
-        self.most, self.hash, self.known = most, xxh3_64_intdigest, {}
+        self.most, self.digest = most, xxh3_64_intdigest
+        self.place: dict[bytes, int] = {}
+        self.hash = np.zeros(1 << 16, dtype=np.uint64)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        known, get = self.known, self.known.get
-        out = list(map(get, words))
-        if None in out:
-            digest = self.hash
-            if len(known) > self.most:
-                known.clear()
-            for i, v in enumerate(out):
-                if v is None:
-                    w = words[i]
-                    v = get(w)
-                    if v is None:
-                        v = known[w] = digest(w)
-                    out[i] = v
-        return np.array(out, dtype=np.uint64)
+        if len(self.place) > self.most:
+            self.place.clear()
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            place, digest = self.place, self.digest
+            fresh = {w: None for w in map(words.__getitem__, new.tolist())}
+            first = len(place)
+            while first + len(fresh) > len(self.hash):
+                self.hash = np.concatenate((self.hash, np.zeros_like(self.hash)))
+            self.hash[first : first + len(fresh)] = list(map(digest, fresh))
+            place.update(zip(fresh, count(first), strict=False))
+            at[new] = [place[words[i]] for i in new.tolist()]
+        return self.hash[at]
 
 
 def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -156,6 +184,7 @@ def map_columns(df: DataFrame, f: Callable[[Iterator[dict[str, list]]], Iterator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(schema)
+        enter(f.__module__)
 
         def slices() -> Iterator[dict[str, list]]:
             for whole in batches:

@@ -13,7 +13,7 @@ counts, and its size, which is sent to all tasks, is bounded.
 
 What would be all pairs of a large group is avoided in three ways. Equal sets are one class, by digest. Within an index
 entry, members are first compared with one of them (the smallest), each document with the one that it meets most often;
-links found make components, and rounds of this go on as long as they find links. Only for entries that still hold
+links found make components, and rounds of this go on while they find many. Only for entries that still hold
 several components, pairs across components are compared, after a filter that bounds their overlap by counts over slices
 of the hash space. No link between different sets is lost: every pair that meets is linked, in one component, or compared.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, cut, discard, map_columns, map_texts, mix, shingle_hashes, table
+from .common import LOWER, WordHashes, cut, discard, keeps, map_columns, map_texts, mix, shingle_hashes, table
 from .graph import components
 
 SHINGLE, PERCENT = 3, 90
@@ -38,20 +38,26 @@ MAX_FREQUENT, FREQUENT, BLOCK = 1 << 17, 24, 1 << 21
 #: Rows up to which a list of ids is sent to all tasks; beyond, the join shuffles.
 SMALL = 1 << 19
 SLICES = 128
-#: Rounds of comparing with one member before pairs across components are compared.
-ROUNDS = 6
+#: Documents of an index entry that are compared in one task.
+TOGETHER = 1_000
+#: Rounds of comparing with one member, at most, before all pairs across components are compared; a round that finds under
+#: one in FEW of the links so far is the last.
+ROUNDS, FEW = 6, 50
 
+EDGES = np.arange(SLICES, dtype=np.uint64) << np.uint64(57)
 _hashes = WordHashes()
+keeps(__name__, _hashes.place.clear)
 
 
 def shingle_set(text: bytes, n: int = SHINGLE) -> np.ndarray:
     """Sorted hashes of the distinct shingles."""
-    return np.unique(shingle_hashes(_hashes(text.translate(LOWER).split()), n))
+    h = np.sort(shingle_hashes(_hashes(text.translate(LOWER).split()), n))
+    return h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """How many of the hashes lie in each slice, as 16-bit numbers (at most 65,535, which still bounds nothing from below)."""
-    return np.minimum(np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=SLICES), 65535).astype("<u2").tobytes()
+    """How many of the hashes lie in each slice of the hash space, in a byte each; 255 stands for any number from 255."""
+    return np.minimum(np.diff(np.searchsorted(h, EDGES), append=len(h)), 255).astype(np.uint8).tobytes()
 
 
 def facts(docs: DataFrame, shingle: int) -> DataFrame:
@@ -171,19 +177,80 @@ def linked(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> Dat
     return out
 
 
-def overlap_bound(pairs: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of the pairs whose sketches leave the threshold within reach."""
+def reachable(nu: np.ndarray, nv: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and sketches leave the threshold within reach, row by row."""
+    full = ((a == 255) & (b == 255)).any(1)
+    least = np.where(a == 255, b, np.where(b == 255, a, np.minimum(a, b)))
+    most = np.where(full, np.minimum(nu, nv), least.sum(1, dtype=np.int64))
+    return (100 * nu >= percent * nv) & (100 * nv >= percent * nu) & (100 * most >= percent * (nu + nv - most))
+
+
+def sketches_of(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, SLICES)
+
+
+def within_reach(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The rows of pairs (u, v, ...) whose sizes and sketches leave the threshold within reach."""
+    names = pairs.columns
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v").where(f"100 * nu >= {percent} * nv and 100 * nv >= {percent} * nu")
+
+    def run(parts):
+        for p in parts:
+            ok = np.flatnonzero(reachable(np.array(p["nu"]), np.array(p["nv"]), sketches_of(p["su"]), sketches_of(p["sv"]), percent)).tolist() if p["u"] else []
+            yield {k: [p[k][i] for i in ok] for k in names}
+
+    return map_columns(both, run, pairs.schema)
+
+
+def close_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """(u, v): documents of different components that share an entry (sig, doc, label, n, sketch), within reach.
+
+    The rows of an entry lie next to each other; each is compared with those behind it, all entries of a batch together,
+    and only pairs within reach are passed on. An entry of more than TOGETHER documents is dealt out to blocks, and each
+    two of its blocks are compared on their own, so no task holds a large group.
+    """
+    sizes = entries.groupBy("sig").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = entries.join(sizes, "sig", "left").withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("doc"), F.col("blocks"))).otherwise(0).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))))
+    dealt = dealt.select("sig", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "doc", "label", "n", "sketch")
+    keys = ["sig", "a", "b"]
+
+    def compared(rows: dict[str, list]) -> dict[str, list]:
+        col = {k: np.array(rows[k], dtype=np.int64) for k in ("sig", "a", "b", "own", "doc", "label", "n")}
+        s, out = sketches_of(rows["sketch"]), []
+        at, step = np.arange(len(col["sig"])), 0
+        while True:
+            step += 1
+            at = at[at + step < len(col["sig"])]
+            at = at[np.logical_and.reduce([col[k][at] == col[k][at + step] for k in keys])]
+            if not len(at):
+                break
+            to = at + step
+            # Two documents of one block are compared where the block meets itself.
+            ok = (col["label"][at] != col["label"][to]) & (col["doc"][at] != col["doc"][to]) & ((col["a"][at] == col["b"][at]) | (col["own"][at] != col["own"][to]))
+            i, j = at[ok], to[ok]
+            ok = reachable(col["n"][i], col["n"][j], s[i], s[j], percent)
+            u, v = col["doc"][i[ok]], col["doc"][j[ok]]
+            out.append(np.stack([np.maximum(u, v), np.minimum(u, v)], 1))
+        u, v = (np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)).T.tolist()
+        return {"u": u, "v": v}
 
     def run(parts):
+        held: dict[str, list] = {}
         for p in parts:
-            a, b = (np.frombuffer(b"".join(p[k]), dtype="<u2").reshape(-1, SLICES).astype(np.int64) for k in ("su", "sv"))
-            nu, nv = np.array(p["nu"], dtype=np.int64), np.array(p["nv"], dtype=np.int64)
-            full = (a == 65535) | (b == 65535)
-            most = np.where(full.any(1), np.minimum(nu, nv), np.minimum(a, b).sum(1))
-            ok = 100 * most >= percent * (nu + nv - most)
-            yield {"u": pa.array(np.array(p["u"], dtype=np.int64)[ok]), "v": pa.array(np.array(p["v"], dtype=np.int64)[ok])}
+            held = {k: held[k] + v for k, v in p.items()} if held else p
+            n = len(held["sig"])
+            last = n
+            while last and all(held[k][last - 1] == held[k][n - 1] for k in keys):
+                last -= 1
+            if last >= 4000:
+                yield compared({k: v[:last] for k, v in held.items()})
+                held = {k: v[last:] for k, v in held.items()}
+        if held and held["sig"]:
+            yield compared(held)
 
-    return map_columns(pairs.select("u", "v", "nu", "nv", "su", "sv"), run, "u long, v long")
+    return map_columns(dealt.repartition(*keys).sortWithinPartitions(*keys), run, "u long, v long").distinct()
 
 
 def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -199,7 +266,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
     members = cut(rows.join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")), "members")
     per_id = members.where("rep is not null").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("rep")).cast("int")).alias("is_rep"), F.min("rep").alias("least"), F.max("rep").alias("most"))
     same_id = members.join(per_id.where("least <> most").select("doc_id", "least"), "doc_id").where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
-    reps = members.where("doc_id = rep").groupBy("rep").agg(F.max("n").alias("n"), F.first("sketch").alias("sketch"))
+    reps = cut(members.where("doc_id = rep").groupBy("rep").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch")), "sketches")
 
     copies = per_id.where("is_rep = 0").select("doc_id")
     entries = cut(index(with_ids(docs.where("doc_id is not null"), copies, "left_anti"), frequent, shingle, percent), "index")
@@ -210,6 +277,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
     edges = cut(same_id, "links")
     label = components(edges)
     tried: list[DataFrame] = []
+    links = 0
 
     def compare(pairs: DataFrame) -> int:
         nonlocal edges, label
@@ -229,16 +297,17 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
         votes = now.join(center, "sig").where("label <> c.label").groupBy(F.col("doc").alias("u"), F.col("c.doc").alias("v")).agg(F.count("*").alias("times"))
         for old in tried:
             votes = votes.join(old, ["u", "v"], "left_anti")
-        tried.append(cut(votes.groupBy("u").agg(F.max_by("v", F.struct("times", -F.col("v"))).alias("v")), "pairs"))
-        if not compare(tried[-1]):
+        near = within_reach(votes, reps, percent)
+        tried.append(cut(near.groupBy("u").agg(F.max_by("v", F.struct("times", -F.col("v"))).alias("v")), "pairs"))
+        n = compare(tried[-1])
+        links += n
+        if FEW * n <= links:
             break
     now, unsettled = open_entries(met, label)
-    info = now.join(unsettled.select("sig"), "sig").join(reps.withColumnRenamed("rep", "doc"), "doc")
-    side = lambda x: info.select("sig", *(F.col(k).alias(f"{k}_{x}") for k in ("doc", "label", "n", "sketch")))
-    cross = side("u").join(side("v"), "sig").where(f"doc_u > doc_v and label_u <> label_v and 100 * n_u >= {percent} * n_v and 100 * n_v >= {percent} * n_u")
-    last = cut(overlap_bound(cross.select(*(F.col(f"{k}_{x}").alias(k[0].replace("d", "") + x) for k in ("doc", "n", "sketch") for x in "uv")), percent).distinct(), "pairs")
+    info = now.join(unsettled.select("sig"), "sig").join(reps.select(F.col("rep").alias("doc"), "n", "sketch"), "doc")
+    last = cut(close_pairs(info, percent), "pairs")
     compare(last)
-    discard(spark, met, last, *tried)
+    discard(spark, met, last, reps, *tried)
     out = members.join(label.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
 
