@@ -6,8 +6,9 @@ documents in ascending doc_id order, then a frame that readers of plain zstandar
 seek table in zstandard's seekable format: sizes and a checksum of every frame. A reader gets the table from the end of
 the file and decompresses only the documents that are asked for.
 
-Encoding: no token crosses white space, so a text is cut there; the ids of the cut parts are kept, and only parts not
-seen before go through the library, a batch at a time.
+Encoding: no token crosses white space, so texts are cut there, after A-Z went to lower case as the library would have it
+(not where it might join marks to a letter first, nor near its special tokens). Ids of the distinct parts of a batch are
+kept; only parts not seen before go through the library, all of a batch together.
 
 Frames, not texts, are dealt out to the files, by ranges of doc_id from a quantile summary. Files get their name by
 range, are written under a name of the attempt and then renamed, so a repeated task leaves the same file.
@@ -19,22 +20,28 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_columns, new_path, table
+from ..plans.session import ship
+from .common import enter, keeps, map_columns, new_path, table
 
 END_ID = 2
 #: Bytes of text for one file.
 FILE_BYTES = 64 << 20
+#: Bytes of text that are encoded together (one text may have more).
+TOGETHER = 8 << 20
 
 # Fixed values of zstandard's seekable format.
 SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -43,7 +50,7 @@ SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 class Encoder:
     """most: parts whose ids are kept at a time; longest: bytes of a part that is kept."""
 
-    def __init__(self, tokenizer_file: str, most: int = 400_000, longest: int = 40):
+    def __init__(self, tokenizer_file: str, most: int = 600_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,52 +58,94 @@ class Encoder:
         self.most, self.longest = most, longest
         self.known: dict[bytes, bytes] = {}
         self.stops = {c: self._encoded([c.decode()])[0] for c in (b".", b",")}
+        # The same vocabulary and merges for single words in lower case, without the steps that leave these alone.
+        spec = json.loads(self.tokenizer.to_str())
+        spec["normalizer"] = None
+        spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.single = Tokenizer.from_str(json.dumps(spec))
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        #: Which ids end a word.
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def _encoded(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[bytes], end: int = END_ID) -> list[bytes]:
-        """Ids of each text and the end id, as little-endian unsigned 32-bit numbers."""
+    def _words(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that are one word each to the library: encoded together, cut behind every id that ends a word."""
+        ids = np.array(self.single.encode(" ".join(parts).lower(), add_special_tokens=False).ids, dtype="<u4")
+        at = np.flatnonzero(self.ends[ids]) + 1 if not len(ids) or ids.max() < len(self.ends) else ()
+        if len(at) != len(parts):
+            return self._encoded(parts)
+        raw, at = ids.tobytes(), [0, *(4 * at).tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def _learn(self, new: set[bytes]) -> None:
+        known = self.known
+        known[b""] = b""
+        body = {w: self.body(w) for w in new}
+        words, others = {}, {}
+        for b in body.values():
+            if b not in known:
+                s = b.decode("utf-8", "replace")
+                # Latin letters that stay letters in lower case.
+                (words if s.isalpha() and max(s) < "\u0180" and "\u0130" not in s else others)[b] = s
+        for some, f in ((words, self._words), (others, self._encoded)):
+            if some:
+                known.update(zip(some, f(list(some.values())), strict=True))
+        for w, b in body.items():
+            if b != w:
+                known[w] = known[b] + self.stops[w[-1:]] if len(b) < len(w) else known[b]
+
+    def __call__(self, texts: pa.Array, end: int = END_ID) -> list[bytes]:
+        """Ids of each text (null as empty) and the end id, as little-endian unsigned 32-bit numbers."""
         known = self.known
-        if len(known) > self.most:
-            known.clear()
-        cut = [x.split() for x in texts]
-        got = [list(map(known.get, words)) for words in cut]
-        new: dict[bytes, bytes] = {}
-        todo: dict[bytes, None] = {}
-        for words, ids in zip(cut, got, strict=True):
-            if None in ids:
-                for w, v in zip(words, ids, strict=True):
-                    if v is None and w not in new:
-                        new[w] = b""
-                        todo[self.body(w)] = None
-        if new:
-            bodies = [w for w in todo if w not in known]
-            fresh = dict(zip(bodies, self._encoded([w.decode("utf-8", "replace") for w in bodies]), strict=True))
-            for w in new:
-                body = self.body(w)
-                v = fresh.get(body)
-                v = known[body] if v is None else v
-                new[w] = v + self.stops[w[-1:]] if len(body) < len(w) else v
-            for words, ids in zip(cut, got, strict=True):
-                if None in ids:
-                    ids[:] = [new[w] if v is None else v for w, v in zip(words, ids, strict=True)]
-            known.update((w, v) for w, v in new.items() if len(w) <= self.longest)
-            known.update((w, v) for w, v in fresh.items() if len(w) <= self.longest)
+        full = len(known) > self.most
+        texts = pc.fill_null(texts, "")
+        low = pc.if_else(pc.match_substring_regex(texts, "<\\||[\u0300-\u036f]"), texts, pc.ascii_lower(texts))
+        parts = pc.ascii_split_whitespace(low)
+        each = parts.flatten().dictionary_encode()
+        words = each.dictionary.cast(pa.binary()).to_pylist()
+        got = list(map(known.get, words))
+        if None in got:
+            before = len(known)
+            self._learn({w for w, v in zip(words, got, strict=True) if v is None})
+            got = list(map(known.__getitem__, words))
+            if full:
+                # The parts that came first stay; they are the frequent ones.
+                for w in list(islice(reversed(known), len(known) - before)):
+                    del known[w]
+        # Ids of all distinct parts one after the other; where those of a part begin, and how many they are.
+        ids = np.frombuffer(b"".join(got), dtype="<u4")
+        size = np.fromiter(map(len, got), dtype=np.int32, count=len(got)) // 4
+        first = np.cumsum(size, dtype=np.int64) - size
+        at = each.indices.to_numpy()
+        n = size[at]
+        ends = np.cumsum(n, dtype=np.int64)
+        take = np.repeat(first[at] - (ends - n), n)
+        take += np.arange(len(take))
+        flat = ids[take]
+        bounds = np.concatenate(([0], ends))[parts.offsets.to_numpy() - parts.offsets[0].as_py()].tolist()
         tail = struct.pack("<I", end)
-        return [b"".join(ids) + tail for ids in got]
+        out = [flat[a:b].tobytes() + tail for a, b in zip(bounds, bounds[1:], strict=False)]
+        for w in words:
+            if len(w) > self.longest:
+                known.pop(w, None)
+                known.pop(self.body(w), None)
+        return out
 
     @staticmethod
     def body(w: bytes) -> bytes:
-        """What has to be encoded of a part: in lower case if the library would do just that, less one stop behind a letter or digit."""
-        if w.isascii() and b"<|" not in w:
-            w = w.lower()
+        """What has to be encoded of a part: less one stop behind a letter or digit."""
         return w[:-1] if w[-1:] in (b".", b",") and w[-2:-1].isalnum() and b"<|" not in w else w
 
 
 _encoders: dict[str, Encoder] = {}
 
 
+keeps(__name__, _encoders.clear)
+
+
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
@@ -181,6 +230,17 @@ def located(where: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(where) if "://" in where or where.startswith("file:") else (fs.LocalFileSystem(), where)
 
 
+def slices(batch: pa.RecordBatch, most: int):
+    """Slices of a batch with so many bytes of text at most, or one row."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size, dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def write(docs: DataFrame, tokenizer_file: str, folder: str, file_bytes: int = FILE_BYTES, end: int = END_ID) -> list[tuple[int, str, int, int]]:
     """Write docs (doc_id, text) into folder; [(first id's place, file, documents, ids)] in order, one for each file."""
     total = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
@@ -188,18 +248,22 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str, file_bytes: int = F
     grid = docs.select(F.percentile_approx("doc_id", F.array(*(F.lit(k / n) for k in range(1, n))), 20_000)).first()[0] if n > 1 else []
     edges = np.unique(np.array(grid or [], dtype=np.int64))
 
-    def encode(parts):
+    def encode(batches):
         from xxhash import xxh64_intdigest
         from zstandard import ZstdCompressor
 
         pack = ZstdCompressor(level=1, write_checksum=True, write_content_size=True).compress
+        enter(encoder.__module__)
         enc = encoder(tokenizer_file)
-        for p in parts:
-            raw = enc([bytes(x or b"") for x in p["text"]], end)
-            yield {
-                "doc_id": p["doc_id"], "frame": [pack(x) for x in raw], "size": [len(x) for x in raw], "checksum": [xxh64_intdigest(x) & 0xFFFFFFFF for x in raw],
-                "file": [0 if i is None else int(np.searchsorted(edges, i, "right")) for i in p["doc_id"]],
-            }
+        for whole in batches:
+            for p in slices(whole, TOGETHER):
+                ids = p.column(0)
+                raw = enc(p.column(1), end)
+                file = np.searchsorted(edges, pc.fill_null(ids, -(1 << 63)).to_numpy(zero_copy_only=False), "right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array([pack(x) for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64()), pa.array([xxh64_intdigest(x) & 0xFFFFFFFF for x in raw], pa.int64()), pa.array(file)],
+                    names=["doc_id", "frame", "size", "checksum", "file"],
+                )
 
     def store(parts):
         out, at = None, None
@@ -215,7 +279,8 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str, file_bytes: int = F
             out.close()
             yield {"file": [at], "docs": [len(out.ids)], "tokens": [out.tokens]}
 
-    frames = map_columns(docs.select("doc_id", F.col("text").cast("binary").alias("text")), encode, "doc_id long, frame binary, size long, checksum long, file int")
+    ship(docs.sparkSession)
+    frames = docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, frame binary, size long, checksum long, file int")
     dealt = frames.repartition(len(edges) + 1, "file").sortWithinPartitions("file", "doc_id", "size", "checksum")
     made = map_columns(dealt, store, "file int, docs long, tokens long").collect()
     out, first = [], 0
