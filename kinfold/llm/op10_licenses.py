@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import WordHashes, map_texts, mix, shingle_hashes, table
+from .common import WordHashes, keeps, map_texts, mix, shingle_hashes, table
 from .op8_decontaminate import words_of
 
 SHINGLE, CONTAINED = 5, 80
@@ -71,6 +71,7 @@ def chance(similarity: float, rows: int = ROWS, bands: int = BANDS) -> float:
 
 _A = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 _hashes = WordHashes()
+keeps(__name__, _hashes.place.clear)
 
 
 def minima(h: np.ndarray):

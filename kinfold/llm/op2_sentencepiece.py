@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import map_texts, table
+from .common import keeps, map_texts, table
 
 SPACE = "▁"
 
@@ -36,7 +36,7 @@ class Codec:
     most: parts whose ids are kept at a time; longest: of characters in a part that is kept.
     """
 
-    def __init__(self, model_file: str, most: int = 500_000, longest: int = 32):
+    def __init__(self, model_file: str, most: int = 400_000, longest: int = 32):
         import ahocorasick
         import sentencepiece
 
@@ -266,6 +266,9 @@ def _utf8(raw: bytes) -> str:
 _codecs: dict[str, Codec] = {}
 
 
+keeps(__name__, _codecs.clear)
+
+
 def codec(model_file: str) -> Codec:
     if model_file not in _codecs:
         _codecs[model_file] = Codec(model_file)

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import _MIX, map_texts, table
+from .common import _MIX, keeps, map_texts, table
 
 #: Most permille of word characters inside repeated runs of so many words, and inside repeated lines. A run of a few
 #: words may recur in ordinary prose; the longer the run, the less of the text.
@@ -108,6 +108,7 @@ def _rolled(ids: np.ndarray, k: int) -> np.ndarray:
 LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *(f"dup{k}_permille" for k in LIMITS), "dup_line_permille")
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(x, T.LongType()) for x in LONGS), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())])
 _numbers = Numbers()
+keeps(__name__, _numbers.known.clear)
 
 
 def judge(docs: DataFrame) -> DataFrame:
