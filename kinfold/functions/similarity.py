@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -113,16 +113,21 @@ def jaro(a: str, b: str) -> float:
     if not a or not b:
         return float(a == b)
     reach = max(0, max(len(a), len(b)) // 2 - 1)
-    used, left = [False] * len(b), []
+    free: dict[str, deque[int]] = {}
+    for j, c in enumerate(b):
+        free.setdefault(c, deque()).append(j)
+    taken, left = [], []
     for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                left.append(c)
-                break
+        # The window only moves on, so places before it are of no use any more.
+        own = free.get(c)
+        while own and own[0] < i - reach:
+            own.popleft()
+        if own and own[0] <= i + reach:
+            taken.append(own.popleft())
+            left.append(c)
     if not left:
         return 0.0
-    right = [c for c, u in zip(b, used, strict=True) if u]
+    right = [b[j] for j in sorted(taken)]
     m = len(left)
     swaps = sum(x != y for x, y in zip(left, right, strict=True)) // 2
     return (m / len(a) + m / len(b) + (m - swaps) / m) / 3

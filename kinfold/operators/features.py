@@ -48,7 +48,7 @@ def _flag(c: Column) -> Column:
 
 def plain_features(pairs: DataFrame, records: DataFrame, fuzzy: bool = True, kind: str = "float") -> DataFrame:
     """The 25 features over the plainer form (structs n and a), of a numeric kind; fuzzy: with the string similarities."""
-    p = attach(pairs, records, ("n", "a"))
+    p = attach(pairs, records.withColumn("g", X.grams(F.col("n.despaced"))), ("n", "a", "g"))
     na, nb, aa, ab = F.col("n_a"), F.col("n_b"), F.col("a_a"), F.col("a_b")
     both = ~aa["is_missing"] & ~ab["is_missing"]
     la, lb = F.length(na["norm"]), F.length(nb["norm"])
@@ -56,7 +56,7 @@ def plain_features(pairs: DataFrame, records: DataFrame, fuzzy: bool = True, kin
     post = (aa["postcode"] != "") & (ab["postcode"] != "")
     out = {
         "name_exact": equal("norm"), "name_sorted_exact": equal("sorted"), "name_despaced_exact": equal("despaced"),
-        "name_char_ngram_jaccard": X.jaccard(X.grams(na["despaced"]), X.grams(nb["despaced"])), "name_token_jaccard": X.jaccard(na["tokens"], nb["tokens"]),
+        "name_char_ngram_jaccard": X.jaccard(F.col("g_a"), F.col("g_b")), "name_token_jaccard": X.jaccard(na["tokens"], nb["tokens"]),
         "name_first_token_match": _flag(X.first(na["tokens"]) == X.first(nb["tokens"])),
         "name_len_ratio": F.when(F.greatest(la, lb) > 0, F.least(la, lb) / F.greatest(la, lb)).otherwise(F.lit(1.0)),
         "suffix_match": equal("suffix"), "suffix_conflict": _flag((na["suffix"] != "") & (nb["suffix"] != "") & (na["suffix"] != nb["suffix"])),

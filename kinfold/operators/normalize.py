@@ -56,10 +56,10 @@ def addresses(df: DataFrame, learned: DataFrame | None = None, native: bool = Tr
     The state is the last component that is one; components that are states belong to the address no longer.
     """
     parts = X.components(X.address_base(F.col("addr")))
-    out = df.withColumn("kinfold_parts", parts).withColumn("kinfold_states", X.states(F.col("country"), F.col("kinfold_parts"), X.state_table(native_states)))
-    found = F.filter("kinfold_states", lambda x: x.isNotNull())
-    rest = F.array_join(F.filter("kinfold_parts", lambda x, i: F.get("kinfold_states", i).isNull() & (x != "")), " ")
-    out = out.withColumn("state", F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(""))).withColumn("kinfold_rest", rest)
+    out = df.withColumn("kinfold_parts", X.states(F.col("country"), parts, X.state_table(native_states)))
+    found = F.filter("kinfold_parts", lambda x: x["code"].isNotNull())
+    rest = F.array_join(F.transform(F.filter("kinfold_parts", lambda x: x["code"].isNull() & (x["part"] != "")), lambda x: x["part"]), " ")
+    out = out.withColumn("state", F.coalesce(F.try_element_at(found, F.lit(-1))["code"], F.lit(""))).withColumn("kinfold_rest", rest)
     out = out.withColumn("addr_num", X.digit_runs(F.col("kinfold_rest"))).withColumn("addr_all", X.address_words(F.col("kinfold_rest")))
     if native:
         out = with_latin(out, "addr_all", "entity_id", learned)
@@ -68,7 +68,7 @@ def addresses(df: DataFrame, learned: DataFrame | None = None, native: bool = Tr
         "addr_str": F.array_join(F.transform("addr_all", X.no_leading_zeros), " "),
         "addr_tok": X.without(F.filter("addr_all", lambda x: ~x.rlike(r"^\d+$")), V.ADDR_STOP),
         "addr_missing": F.trim("kinfold_rest") == "",
-    }).drop("kinfold_parts", "kinfold_states", "kinfold_rest", "addr_all")
+    }).drop("kinfold_parts", "kinfold_rest", "addr_all")
 
 
 def normalized(df: DataFrame, learned: DataFrame | None = None, native: bool = True, native_states: dict[str, str] | None = None) -> DataFrame:

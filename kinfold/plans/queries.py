@@ -13,7 +13,7 @@ from ..functions.similarity import scores
 from ..functions.vocabulary import KEY_TYPES
 from ..operators import blocking, context, decode, features, learn, normalize
 from ..sources import records as S
-from .resolve import resolve, train
+from .resolve import keep, resolve, train
 from .session import ship
 from .sql import SQL
 
@@ -35,11 +35,12 @@ def ent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize.normalized(ent(spark, sf_dir), native=False)
+    """Records in normal form, kept while a query reads them several times."""
+    return keep(normalize.normalized(ent(spark, sf_dir), native=False))
 
 
 def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize.plain(ent(spark, sf_dir))
+    return keep(normalize.plain(ent(spark, sf_dir)))
 
 
 def first(e: DataFrame) -> DataFrame:

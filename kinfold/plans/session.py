@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parents[1]
 _shipped: set[str] = set()
@@ -40,3 +43,21 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(PACKAGE.rglob("*.py")):
             z.write(p, p.relative_to(PACKAGE.parent))
     spark.sparkContext.addPyFile(str(path))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written into the folder of spark.checkpoint.dir and read back: later steps neither repeat nor plan it again.
+
+    A local session (one machine, as in tests) may be without that setting; it gets a temporary folder.
+    """
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="kinfold-")
+        atexit.register(shutil.rmtree, folder, True)
+    path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
