@@ -33,10 +33,10 @@ SPACE = "▁"
 class Codec:
     """Encoder and decoder of one model file.
 
-    most: parts whose ids are kept at a time; longest: of characters in a part that is kept.
+    most: words of each kind, and tests of pairs, that are kept; longest: of characters in a part that is kept.
     """
 
-    def __init__(self, model_file: str, most: int = 400_000, longest: int = 32):
+    def __init__(self, model_file: str, most: int = 300_000, longest: int = 32):
         import ahocorasick
         import sentencepiece
 
@@ -113,9 +113,9 @@ class Codec:
         key = a << 20 | b
         known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) > 2_000_000:
-                self.compatible.clear()
-            known = self.compatible[key] = self.apart(a, b)
+            known = self.apart(a, b)
+            if len(self.compatible) < self.most:
+                self.compatible[key] = known
         return known
 
     def apart(self, a: int, b: int) -> bool:
@@ -186,9 +186,9 @@ class Codec:
         else:
             got = self.entry(self.part.findall(SPACE + w if spaced else w))
         if len(w) <= self.longest:
-            if len(known) >= self.most:
-                known.clear()
-            known[w] = got
+            # When there are enough, those that came first stay; they are the frequent ones.
+            if len(known) < self.most:
+                known[w] = got
         return got
 
     def encoded(self, text: str) -> tuple[bytes, str, int, str]:
