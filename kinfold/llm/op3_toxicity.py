@@ -36,6 +36,8 @@ HOMOGLYPHS = dict(zip("аеорсухіјѕԁһԛѡвнкмтαεορυιντκ
 LEET = str.maketrans("0134578@$!", "oieastbasi")
 FOLD = str.maketrans(HOMOGLYPHS)
 MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
+#: Entries that a task counts before it passes them on.
+PASS_ON = 200_000
 TOKEN = re.compile(r"[^\W_]+(?:[@$!]+[^\W_]+)*|[@$][^\W_]+")
 MIXED = re.compile(r"[a-z]*(?:[a-z][0134578@$!]+|[0134578@$!]+[a-z])[a-z0-9@$!]*")
 
@@ -113,13 +115,21 @@ def counted(rows: DataFrame) -> DataFrame:
     """(entry, pos, neg): training texts with an entry, by label; each task adds up its own first."""
     def run(parts):
         pos, neg = Counter(), Counter()
+
+        def counts():
+            keys = sorted(pos.keys() | neg.keys())
+            for at in range(0, len(keys), 50_000):
+                some = keys[at : at + 50_000]
+                yield {"entry": some, "pos": [pos[k] for k in some], "neg": [neg[k] for k in some]}
+            pos.clear()
+            neg.clear()
+
         for part in parts:
             for text, toxic in zip(part["text"], part["toxic"], strict=True):
                 (pos if toxic else neg).update(entries_of(set(fold(text or ""))))
-        keys = sorted(pos.keys() | neg.keys())
-        for at in range(0, len(keys), 50_000):
-            some = keys[at : at + 50_000]
-            yield {"entry": some, "pos": [pos[k] for k in some], "neg": [neg[k] for k in some]}
+                if len(pos) + len(neg) > PASS_ON:
+                    yield from counts()
+        yield from counts()
 
     return map_columns(rows, run, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
@@ -130,7 +140,7 @@ def chosen(counts: list[tuple[str, int, int]], n_pos: int, n_neg: int) -> dict[s
     for w, p, n in sorted(counts, key=lambda x: (len(x[0]), x[0])):
         odds = math.log((p + 0.5) / (n_pos + 1)) - math.log((n + 0.5) / (n_neg + 1))
         shorter = max((weights.get(w[:k], 0.0) for k in range(3, len(w))), default=0.0)
-        if odds >= 1.2 and odds > shorter + 0.7 and _surprise(p, n, n_pos, n_neg) > 20:
+        if odds >= 2.0 and odds > shorter + 0.7 and _surprise(p, n, n_pos, n_neg) > 20:
             weights[w] = odds
     return weights
 
@@ -167,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, max_ent
     n_pos, n_neg = n.get(True, 0), n.get(False, 0)
     lex = Lexicon({}, {}, (-30.0, 0.0, 0.0))
     if n_pos and n_neg:
-        top = counted(rows).where("pos >= 3 and pos * %d > 2 * neg * %d" % (n_neg, n_pos)).orderBy(F.desc("pos"), "entry").limit(max_entries * 10)
+        top = counted(rows).where("pos >= 3 and pos * %d > 3 * neg * %d" % (n_neg, n_pos)).orderBy(F.desc("pos"), "entry").limit(max_entries * 10)
         weights = chosen([tuple(r) for r in top.collect()], n_pos, n_neg)
         weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:max_entries])
         lex = Lexicon(weights, {}, lex.curve)
@@ -177,6 +187,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, max_ent
     return lex
 
 
+def counts(seen: Counter) -> dict[str, list]:
+    keys = sorted(seen)
+    out = {"phrase": [k[0] for k in keys], "toxic": [k[1] for k in keys], "weight": [k[2] for k in keys], "n": [seen[k] for k in keys]}
+    seen.clear()
+    return out
+
+
 def exceptions(rows: DataFrame, lex: Lexicon, least: int = 3, most: int = 1_000) -> dict[str, float]:
     """Pairs of neighbours around an entry that stand in harmless texts only, with the entry's weight."""
 
@@ -187,8 +204,9 @@ def exceptions(rows: DataFrame, lex: Lexicon, least: int = 3, most: int = 1_000)
                 words = fold(text or "")
                 each = [weight(lex, w) for w in words]
                 seen.update({(f"{words[i]} {words[i + 1]}", int(toxic), each[i] + each[i + 1]) for i in range(len(words) - 1) if each[i] or each[i + 1]})
-        keys = sorted(seen)
-        yield {"phrase": [k[0] for k in keys], "toxic": [k[1] for k in keys], "weight": [k[2] for k in keys], "n": [seen[k] for k in keys]}
+                if len(seen) > PASS_ON:
+                    yield counts(seen)
+        yield counts(seen)
 
     got = (
         map_columns(rows, run, "phrase string, toxic int, weight double, n long")

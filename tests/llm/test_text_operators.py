@@ -109,7 +109,7 @@ def toxic_corpus(spark, docs):
         bad = i % 7 == 0
         if bad:
             words.insert(rnd.randrange(len(words)), rnd.choice(["grumblewort", "Grumblewort", "grumb1ewort", "grumblеwort"]))
-        elif i % 5 == 0:
+        elif i % 12 == 0:
             words.insert(rnd.randrange(len(words)), "grumblewort soup")
         texts.append(" ".join(words))
         labels.append((i, 1, int(bad)))
