@@ -17,8 +17,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
-    return op4_jaccard.keep_one(docs)
+    """One document of each group of near copies (five-word shingles, 80 %): the one with the smallest doc_id."""
+    return op4_jaccard.keep_one(docs, 5, 80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -323,9 +323,9 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs without those that another document of their component, with a smaller doc_id, stands for."""
-    found = join(docs)
+    found = join(docs, shingle, percent)
     rest = docs.where("doc_id is not null")
     kept = with_ids(rest, found.where("doc_id <> component_id").select("doc_id").distinct(), "left_anti")
     twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")

@@ -242,6 +242,19 @@ def test_pipeline_matches_its_stages_by_brute_force(spark, docs, sf):
     assert {i: r["ids"] for i, r in got.items()} == want
 
 
+def test_near_copies_stage_matches_brute_force_at_five_words_and_80_percent(spark, docs, copies):
+    rnd = random.Random(17)
+    # One run of five words replaced in 100: 87/105 = 0.829 at five words, 91/105 at three; two words far apart: 86/106 and 92/104.
+    for _ in range(20):
+        w, at = prose(rnd, 100, 10**6).split(), rnd.randrange(10, 85)
+        copies += [" ".join(w), " ".join([*w[:at], *(f"r{k}" for k in range(5)), *w[at + 5 :]]), " ".join([*w[:20], "s", *w[21:70], "t", *w[71:]])]
+    rows = list(enumerate(copies))
+    want = {i for i, (_, root) in brute_components(rows, 5, 80).items() if i == root}
+    assert want < {i for i, (_, root) in brute_components(rows).items() if i == root}
+    got = [r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs(copies), "").select("doc_id").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_stages_keep_the_columns_and_survive_odd_rows(spark, docs, sf):
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(ODD)] + [(None, "null id", "en", "s", 1), (3, "word", None, None, None)]
     table = docs(rows)
