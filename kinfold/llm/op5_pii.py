@@ -9,9 +9,12 @@ keyed syllables in the same script and case, and keep a feminine ending. Later m
 change with it.
 
 Collision check: all distinct entities of the corpus with their surrogates are aggregated. Where two entities share a
-surrogate, or a surrogate is itself an entity of the corpus, all but the first get the next permutation, until nothing
-collides. These exceptions are few; they are sent to all tasks. If there were more than MAX_EXCEPTIONS, or entities still
-shared surrogates after ATTEMPTS permutations, words get one more syllable and the check starts again.
+surrogate, or a surrogate is itself an entity of the corpus, all but the first try further permutations, twice as many in
+each round, and take the first value that is no entity and nobody's surrogate, until all have one; words get more syllables
+on the way, so they can't run out. Others can where entities fill a format: if its entities and those that need a surrogate
+of it are more than its values, surrogates there may be entities (the first permutation, in which no two share one), and
+given names, permuted within their lists, may be too. Up to MAX_EXCEPTIONS entities beside their first surrogate are sent to
+all tasks; more stay in a table that is joined with the texts.
 
 Defined cases: null stays null and empty stays empty; texts without entities are unchanged; overlapping finds count once,
 in the order mail, IBAN, address, card, social security number, phone, name; texts are searched whole; repeated rows give
@@ -32,7 +35,8 @@ from .common import map_columns, map_texts, table
 
 KEY = b"kinfold surrogates"
 KINDS = ("email", "iban", "ip", "card", "ssn", "phone", "name")
-MAX_EXCEPTIONS, ATTEMPTS = 1 << 17, 6
+#: Exceptions up to which they are sent to all tasks.
+MAX_EXCEPTIONS = 1 << 17
 
 EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![\w-])")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
@@ -213,16 +217,52 @@ def norm(kind: str, x: str) -> str:
     return x.replace(" ", "") if kind == "iban" else x.lower() if kind == "name" else x
 
 
+def space(kind: str, x: str) -> tuple[str, int]:
+    """Format of an entity (as norm() has it), and how many values it has."""
+    if kind == "ip":
+        n = 0
+        for p in x.split("."):
+            n = n << 8 | int(p)
+        bits = {0: 32, 1: 24, 2: 20, 3: 16, 4: 24}[_network(n)]
+        return (f"{bits}|{n >> bits}", 1 << bits) if bits < 32 else ("32", (1 << 32) - (1 << 25) - (1 << 20) - (1 << 16))
+    if kind == "card":
+        return f"{len(x)}|{luhn(x)}", 10 ** (len(x) - 1) * (1 if luhn(x) else 9)
+    if kind in ("ssn", "phone"):
+        return str(len(x)), 10 ** len(x)
+    if kind == "name":
+        return "", 0
+    rest, body = (x[:4], x[4:]) if kind == "iban" else (x[x.rindex("@") :], x[: x.rindex("@")])
+    if kind == "iban" and int("".join(str(int(c, 36)) for c in body + rest)) % 97 == 1:
+        rest = rest[:2]
+    form, size, seen = "", 1, ""
+    for c in body:
+        if c in "0123456789":
+            form, size = form + "0", size * 10
+        elif c.isascii() and c.isalpha():
+            form, size = form + ("a" if c.islower() else "A"), size * 26
+        elif kind == "email" and 0xE0 <= ord(c) < 0xF7:
+            # Equal letters stay equal.
+            if c not in seen:
+                size, seen = size * (23 - len(seen)), seen + c
+            form += chr(0xE0 + seen.index(c))
+        else:
+            form += c
+    return f"{form}|{rest}", size
+
+
 class Surrogates:
-    """exceptions: {(kind, norm): attempt} for entities whose first surrogates collide."""
+    """exceptions: {(kind, norm): attempt} for entities whose first surrogates collide; more: a table (kind, entity, attempt)
+    in its place, if there are too many."""
 
-    def __init__(self, key: bytes = KEY, syllables: int = 4, exceptions: dict | None = None):
-        self.key, self.syllables, self.exceptions = key, syllables, exceptions or {}
+    def __init__(self, key: bytes = KEY, syllables: int = 4, exceptions: dict | None = None, more: DataFrame | None = None):
+        self.key, self.syllables, self.exceptions, self.more = key, syllables, exceptions or {}, more
 
     def __call__(self, kind: str, x: str) -> str:
-        k = self.exceptions.get((kind, norm(kind, x)), 0) if self.exceptions else 0
+        return self.attempt(kind, x, self.exceptions.get((kind, norm(kind, x)), 0) if self.exceptions else 0)
+
+    def attempt(self, kind: str, x: str, k: int) -> str:
         tweak = f"{kind}|{k}" if k else kind
-        return _name(x, self.key, tweak, self.syllables) if kind == "name" else MAKERS[kind](x, self.key, tweak)
+        return _name(x, self.key, tweak, self.syllables + max(0, k.bit_length() - 1)) if kind == "name" else MAKERS[kind](x, self.key, tweak)
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -293,6 +333,41 @@ def entities(docs: DataFrame, make: Surrogates) -> DataFrame:
     return map_columns(docs.select("text"), run, "kind string, entity string, surrogate string").groupBy("kind", "entity").agg(F.min("surrogate").alias("surrogate"))
 
 
+def formats(all_: DataFrame) -> DataFrame:
+    """all_ with the format of each entity (own), that of its surrogate (target) and the number of values of the latter."""
+
+    def run(parts):
+        for p in parts:
+            own, target = ([space(k, x) for k, x in zip(p["kind"], p[c], strict=True)] for c in ("entity", "surrogate"))
+            yield {**p, "own": [f for f, _ in own], "target": [f for f, _ in target], "size": [min(n, 1 << 62) for _, n in target]}
+
+    return map_columns(all_, run, "kind string, entity string, surrogate string, own string, target string, size long")
+
+
+def collisions(all_: DataFrame, real: DataFrame) -> DataFrame:
+    """(kind, entity, surrogate, lax) that need another surrogate; lax: one that may be an entity (real), as its format is full."""
+    from .common import cut, discard
+
+    shared = all_.groupBy("kind", "surrogate").agg(F.count("*").alias("c")).where("c > 1").select("kind", "surrogate")
+    met = cut(all_.join(shared.unionByName(real.join(all_, ["kind", "surrogate"], "left_semi")).distinct(), ["kind", "surrogate"], "left_semi"), "met")
+    if met.isEmpty():
+        out = cut(met.withColumn("lax", F.lit(False)), "bad")
+        discard(all_.sparkSession, met)
+        return out
+    form = cut(formats(all_), "formats")
+    here = form.where("kind <> 'name'").groupBy("kind", F.col("own").alias("target")).agg(F.count("*").alias("e"))
+    there = form.where("kind <> 'name'").groupBy("kind", "target").agg(F.count("*").alias("s"), F.max("size").alias("size"))
+    full = there.join(here, ["kind", "target"], "left").where("s + coalesce(e, 0) > size").select("kind", "target", F.lit(True).alias("full"))
+    given = F.col("entity").isin([n.lower() for n in GENDER])
+    rows = formats(met).join(full, ["kind", "target"], "left").withColumn("first", F.when(F.col("kind") == "name", given).otherwise(F.coalesce("full", F.lit(False))))
+    rows = rows.withColumn("lax", F.col("first") | (F.col("kind") == "name")).join(real.withColumn("real", F.lit(True)), ["kind", "surrogate"], "left")
+    rows = cut(rows.withColumn("ok", F.col("lax") | F.col("real").isNull()).select("kind", "entity", "surrogate", "first", "lax", "ok"), "met")
+    best = rows.where("ok").groupBy("kind", "surrogate").agg(F.min(F.struct(~F.col("first"), "entity")).getField("entity").alias("entity"))
+    out = cut(rows.join(best, ["kind", "surrogate", "entity"], "left_anti").select("kind", "entity", "surrogate", "lax"), "bad")
+    discard(all_.sparkSession, met, form, rows)
+    return out
+
+
 def checked(docs: DataFrame, key: bytes = KEY, syllables: int = 4) -> Surrogates:
     """Surrogates without collisions over all of docs."""
     from .common import cut, discard
@@ -300,38 +375,78 @@ def checked(docs: DataFrame, key: bytes = KEY, syllables: int = 4) -> Surrogates
     spark = docs.sparkSession
     make = Surrogates(key, syllables)
     all_ = cut(entities(docs, make), "entities")
-    for attempt in range(1, ATTEMPTS + 1):
-        firsts = all_.groupBy("kind", "surrogate").agg(F.min("entity").alias("first"), F.count("*").alias("c")).where("c > 1")
-        shared = all_.join(firsts, ["kind", "surrogate"]).where("entity <> first").select("kind", "entity")
-        # Given names are permuted within their lists, so a surrogate among the entities is no sign of a collision.
-        real = all_.where("kind <> 'name'").select("kind", F.col("entity").alias("surrogate"))
-        itself = all_.join(real, ["kind", "surrogate"], "left_semi").select("kind", "entity")
-        bad = (shared.unionByName(itself) if attempt < ATTEMPTS else shared).distinct()
-        rows = bad.limit(MAX_EXCEPTIONS + 1).collect()
+    # Given names are permuted within their lists, so a surrogate among the entities is no sign of a collision.
+    real = all_.where("kind <> 'name'").select("kind", F.col("entity").alias("surrogate"))
+    bad = collisions(all_, real)
+    used = all_.join(bad, ["kind", "entity"], "left_anti").select("kind", "surrogate")
+    found: list[DataFrame] = []
+    spent: list[DataFrame] = []
+    while not bad.isEmpty():
+        low = 1 << len(found)
+
+        def tries(parts, low=low):
+            for p in parts:
+                for kind, x, lax in zip(p["kind"], p["entity"], p["lax"], strict=True):
+                    for at in range(low, 2 * low, 4096):
+                        ks = range(at, min(at + 4096, 2 * low))
+                        yield {"kind": [kind] * len(ks), "entity": [x] * len(ks), "lax": [lax] * len(ks), "attempt": list(ks), "surrogate": [norm(kind, make.attempt(kind, x, k)) for k in ks]}
+
+        tried = map_columns(bad.select("kind", "entity", "lax"), tries, "kind string, entity string, lax boolean, attempt long, surrogate string")
+        free = tried.join(used, ["kind", "surrogate"], "left_anti").join(real.withColumn("real", F.lit(True)), ["kind", "surrogate"], "left").where("lax or real is null")
+        pick = free.groupBy("kind", "entity").agg(F.min(F.struct("attempt", "surrogate")).alias("p")).select("kind", "entity", "p.attempt", "p.surrogate")
+        got = pick.groupBy("kind", "surrogate").agg(F.min(F.struct("entity", "attempt")).alias("p")).select("kind", "p.entity", "p.attempt", "surrogate")
+        found.append(cut(got, "found"))
+        used = used.unionByName(found[-1].select("kind", "surrogate"))
+        old, bad = bad, cut(bad.join(found[-1], ["kind", "entity"], "left_anti"), "bad")
+        spent.append(old)
+    if found:
+        exceptions = found[0]
+        for more in found[1:]:
+            exceptions = exceptions.unionByName(more)
+        exceptions = exceptions.select("kind", "entity", "attempt")
+        rows = exceptions.limit(MAX_EXCEPTIONS + 1).collect()
         if len(rows) > MAX_EXCEPTIONS:
-            discard(spark, all_)
-            return checked(docs, key, syllables + 1)
-        if not rows:
-            break
-        make = Surrogates(key, syllables, make.exceptions | {(r["kind"], r["entity"]): attempt for r in rows})
-        old, all_ = all_, cut(entities(docs, make), "entities")
-        discard(spark, old)
-    else:
-        discard(spark, all_)
-        return checked(docs, key, syllables + 1)
-    discard(spark, all_)
+            make = Surrogates(key, syllables, more=cut(exceptions, "exceptions"))
+        else:
+            make = Surrogates(key, syllables, {(r["kind"], r["entity"]): r["attempt"] for r in rows})
+    discard(spark, all_, bad, *found, *spent)
     return make
 
 
+def with_exceptions(docs: DataFrame, more: DataFrame) -> DataFrame:
+    """docs with a column of the exceptions in each text."""
+    from .common import cut
+
+    rows = cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+    def run(parts):
+        for p in parts:
+            got = [(i, *e) for i, text in zip(p[ROW], p["text"], strict=True) for e in sorted({(k, norm(k, text[a:b])) for a, b, k in find(text or "")})]
+            yield {k: [x[i] for x in got] for i, k in enumerate((ROW, "kind", "entity"))}
+
+    each = map_columns(rows.select(ROW, "text"), run, f"{ROW} long, kind string, entity string").join(more, ["kind", "entity"])
+    lists = each.groupBy(ROW).agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias(EXCEPTIONS))
+    return rows.join(lists, ROW, "left").drop(ROW)
+
+
+ROW, EXCEPTIONS = "_kinfold_row", "_kinfold_exceptions"
+
+
 def redact(docs: DataFrame, make: Surrogates | None = None, counts: bool = False) -> DataFrame:
     """docs with surrogates in text (and n_chars brought up to date); counts: with n_<kind> of all kinds."""
     make = make or checked(docs)
     more = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS] if counts else []
     schema = T.StructType([*docs.schema.fields, *more])
+    if make.more is not None:
+        docs, make = with_exceptions(docs, make.more), Surrogates(make.key, make.syllables)
 
     def f(part, texts: list[str]) -> dict:
         found = [find(x) for x in texts]
-        new = [replaced(x, s, make) if s else x for x, s in zip(texts, found, strict=True)]
+        makes = [make] * len(texts)
+        if EXCEPTIONS in part.schema.names:
+            own = part.column(part.schema.get_field_index(EXCEPTIONS)).to_pylist()
+            makes = [Surrogates(make.key, make.syllables, {(e["kind"], e["entity"]): e["attempt"] for e in x or ()}) for x in own]
+        new = [replaced(x, s, m) if s else x for x, s, m in zip(texts, found, makes, strict=True)]
         null = part.column(part.schema.get_field_index("text")).is_null().to_pylist()
         out = {"text": [None if n else x for n, x in zip(null, new, strict=True)]}
         if "n_chars" in part.schema.names:

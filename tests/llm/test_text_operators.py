@@ -185,6 +185,21 @@ def test_pii_surrogates_are_distinct_keyed_and_stable(docs):
     assert {r["surrogate"] for r in op5_pii.entities(docs(texts), op5_pii.Surrogates(b"other")).collect()} != set(pairs.values())
 
 
+@pytest.mark.parametrize("most", [1 << 17, 100])
+def test_pii_surrogates_are_distinct_in_dense_formats(docs, monkeypatch, most):
+    monkeypatch.setattr(op5_pii, "MAX_EXCEPTIONS", most)
+    hosts = [f"192.168.{i >> 8}.{i & 255}" for i in range(0, 60_000, 3)]  # 20,000 of 65,536
+    half = [f"{c}@example.com" for c in "abcdefghijklm"]  # 13 of 26
+    full = [f"{c}@example.org" for c in "abcdefghijklmnopqrst"]  # 20 of 26: entities can't be avoided
+    texts = [" ; ".join(hosts[i : i + 200]) for i in range(0, len(hosts), 200)] + [" ".join(half + full), None]
+    new = {r["doc_id"]: r["text"] for r in op5_pii.redact(docs(texts)).collect()}
+    at = len(texts) - 2
+    got = [x for i in range(at) for x in new[i].split(" ; ")]
+    assert len(set(got)) == len(hosts) and set(got).isdisjoint(hosts) and all(x.startswith("192.168.") for x in got)
+    mails = new[at].split()
+    assert len(set(mails)) == 33 and set(mails[:13]).isdisjoint(half) and all(x.endswith("@example.org") for x in mails[13:]) and new[at + 1] is None
+
+
 def test_pii_edge_cases(docs):
     got = op5_pii.redact(docs(ODD).withColumn("kinds", F.lit(1)))
     rows = {r["doc_id"]: r["text"] for r in got.collect()}
