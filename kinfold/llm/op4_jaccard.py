@@ -266,7 +266,8 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
     members = cut(rows.join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")), "members")
     per_id = members.where("rep is not null").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("rep")).cast("int")).alias("is_rep"), F.min("rep").alias("least"), F.max("rep").alias("most"))
     same_id = members.join(per_id.where("least <> most").select("doc_id", "least"), "doc_id").where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
-    reps = cut(members.where("doc_id = rep").groupBy("rep").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch")), "sketches")
+    # A row for each set that a doc_id with several stands for: two documents are within reach if any of their sets are.
+    reps = cut(members.where("doc_id = rep").select("rep", "n", "sketch").distinct(), "sketches")
 
     copies = per_id.where("is_rep = 0").select("doc_id")
     entries = cut(index(with_ids(docs.where("doc_id is not null"), copies, "left_anti"), frequent, shingle, percent), "index")

@@ -102,6 +102,16 @@ def test_jaccard_join_of_odd_tables(spark, docs):
     assert kept.columns == [*docs([]).columns, "rep"] and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "None"]
 
 
+@pytest.mark.parametrize("rounds", [6, 0])
+def test_jaccard_join_keeps_all_sets_of_a_repeated_id_apart(docs, monkeypatch, rounds):
+    monkeypatch.setattr(op4_jaccard, "ROUNDS", rounds)
+    rnd = random.Random(18)
+    long, short = prose(rnd, 300, 10**6), prose(rnd, 90, 10**6)
+    rows = [(5, long), (5, short), (8, near_copies(rnd, long, 1)), (9, near_copies(rnd, short, 1)), (10, prose(rnd, 90, 10**6))]
+    got = {r["doc_id"]: r["component_id"] for r in op4_jaccard.join(docs([(i, t, "en", "s", len(t)) for i, t in rows])).collect()}
+    assert got == {5: 5, 8: 5, 9: 5, 10: 10}
+
+
 def test_components(spark):
     rnd = random.Random(13)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]
