@@ -12,7 +12,7 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of the component, for every node with an edge other than the root itself.
 
     Alternates two steps until nothing changes: every node's larger neighbours are linked to its smallest one, then
@@ -22,9 +22,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     spark = edges.sparkSession
     e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     was = _state(e)
-    for _ in range(most):
-        if not was[0]:
-            break
+    while was[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

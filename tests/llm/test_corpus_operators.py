@@ -130,6 +130,19 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+def test_components_go_on_until_nothing_changes(spark, monkeypatch):
+    from kinfold.llm import graph
+
+    edges = spark.createDataFrame([(2, 1)], "u long, v long")
+    edges.kinfold_path = ""
+    states = iter([*((1, i) for i in range(100)), (1, 99)])
+    monkeypatch.setattr(graph, "cut", lambda df, what: edges)
+    monkeypatch.setattr(graph, "discard", lambda *_: None)
+    monkeypatch.setattr(graph, "_state", lambda e: next(states))
+    graph.components(edges)
+    assert next(states, None) is None
+
+
 # -- sharding
 
 
