@@ -12,6 +12,7 @@ from itertools import count, repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.session import ship
@@ -57,6 +58,30 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return back
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or with underscores behind it one that df has no column of (in any case)."""
+    has = {x.lower() for x in df.columns}
+    while name.lower() in has:
+        name += "_"
+    return name
+
+
+#: Column with the number of rows that a key of skewed() has.
+TIMES = "kinfold_times"
+
+
+def skewed(rows: DataFrame, keyed: DataFrame, on: list[str], total: int, how: str = "inner", share: int = 1000) -> DataFrame:
+    """rows joined (inner or left) with a table of unique keys, with TIMES, whose sum is total at most.
+
+    A key of more than one in share of total rows is hot. There are fewer than share of these; they are sent to all tasks,
+    so that rows of a hot key stay where they are. The others are joined by shuffling. keyed is read twice.
+    """
+    hot = F.col(TIMES) * share > F.lit(total)
+    there = F.broadcast(keyed.where(hot).drop(TIMES))
+    rest = rows.join(F.broadcast(keyed.where(hot).select(*on)), on, "left_anti").join(keyed.where(~hot).drop(TIMES), on, how)
+    return rows.join(there, on).unionByName(rest)
+
+
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete what cut() wrote, once nothing reads it any more."""
     for df in frames:

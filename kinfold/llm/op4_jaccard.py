@@ -16,6 +16,8 @@ entry, members are first compared with one of them (the smallest), each document
 links found make components, and rounds of this go on while they find many. Only for entries that still hold
 several components, pairs across components are compared, after a filter that bounds their overlap by counts over slices
 of the hash space. No link between different sets is lost: every pair that meets is linked, in one component, or compared.
+Entries whose documents are all in one component stay so and are left out of later rounds. Classes and entries with a
+large share of all rows are joined by broadcast, so that no task gets all rows of one.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; a text with fewer words than a shingle
 has the whole sequence as its only one; rows with the same doc_id count as one document and are linked; rows without a
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, cut, discard, keeps, map_columns, map_texts, mix, shingle_hashes, table
+from .common import LOWER, TIMES, WordHashes, cut, discard, keeps, map_columns, map_texts, mix, shingle_hashes, skewed, table
 from .graph import components
 
 SHINGLE, PERCENT = 3, 90
@@ -157,9 +159,8 @@ def index(docs: DataFrame, frequent: np.ndarray, shingle: int, percent: int) ->
     return map_columns(docs.select("doc_id", F.col("text").cast("binary").alias("text")), run, "sig long, doc long")
 
 
-def linked(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets reach the threshold, compared in full. pairs is read more than once."""
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+def sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, h): the sets of the documents with these ids."""
 
     def f(_, texts: list[bytes]) -> dict:
         got = [shingle_set(x, shingle) for x in texts]
@@ -169,12 +170,16 @@ def linked(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> Dat
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("h", T.ArrayType(T.LongType()))])
-    sets = cut(map_texts(with_ids(docs.select("doc_id", "text"), ids, "left_semi"), f, schema, as_bytes=True), "sets")
+    return map_texts(with_ids(docs.select("doc_id", "text"), ids, "left_semi"), f, schema, as_bytes=True)
+
+
+def linked(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sets reach the threshold, compared in full. pairs is read more than once."""
+    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+    sets = with_ids(sets, ids, "left_semi")
     a, b = sets.select(F.col("doc_id").alias("u"), F.col("h").alias("a")), sets.select(F.col("doc_id").alias("v"), F.col("h").alias("b"))
     both = pairs.join(a, "u").join(b, "v").withColumn("o", F.size(F.array_intersect("a", "b")))
-    out = cut(both.where(100 * F.col("o") >= percent * (F.size("a") + F.size("b") - F.col("o"))).select("u", "v").distinct(), "links")
-    discard(docs.sparkSession, sets)
-    return out
+    return cut(both.where(100 * F.col("o") >= percent * (F.size("a") + F.size("b") - F.col("o"))).select("u", "v").distinct(), "links")
 
 
 def reachable(nu: np.ndarray, nv: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -262,27 +267,31 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
     frequent = np.sort(top.column("d1").to_numpy().view(np.uint64))
 
     rows = both.where("kind = 0").select("doc_id", "n", "d1", "d2", "sketch")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    members = cut(rows.join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")), "members")
-    per_id = members.where("rep is not null").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("rep")).cast("int")).alias("is_rep"), F.min("rep").alias("least"), F.max("rep").alias("most"))
-    same_id = members.join(per_id.where("least <> most").select("doc_id", "least"), "doc_id").where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
+    classes = cut(rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias(TIMES)), "classes")
+    total = classes.agg(F.sum(TIMES)).first()[0] or 0
+    classed = skewed(rows, classes, ["d1", "d2", "n"], total, "left")
+    members = cut(classed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")), "members")
+    per_id = members.where("rep is not null").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("rep")).cast("int")).alias("is_rep"), F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias(TIMES))
+    several = cut(per_id.where("least <> most").select("doc_id", "least", TIMES), "several")
+    same_id = skewed(members, several, ["doc_id"], total).where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
     # A row for each set that a doc_id with several stands for: two documents are within reach if any of their sets are.
     reps = cut(members.where("doc_id = rep").select("rep", "n", "sketch").distinct(), "sketches")
 
     copies = per_id.where("is_rep = 0").select("doc_id")
     entries = cut(index(with_ids(docs.where("doc_id is not null"), copies, "left_anti"), frequent, shingle, percent), "index")
-    shared = entries.groupBy("sig").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high")
-    met = cut(entries.join(shared.select("sig"), "sig"), "met")
-    discard(spark, both, entries)
-
+    shared = cut(entries.groupBy("sig").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias(TIMES)).where("low <> high").select("sig", TIMES), "shared")
+    met = cut(skewed(entries, shared, ["sig"], shared.agg(F.sum(TIMES)).first()[0] or 0), "met")
     edges = cut(same_id, "links")
+    discard(spark, both, classes, several, entries, shared)
+    sets = cut(sets_of(docs, met.select(F.col("doc").alias("doc_id")).distinct(), shingle), "sets")
+
     label = components(edges)
     tried: list[DataFrame] = []
     links = 0
 
     def compare(pairs: DataFrame) -> int:
         nonlocal edges, label
-        found = linked(docs, pairs, shingle, percent)
+        found = linked(sets, pairs, percent)
         n = found.count()
         if n:
             old = edges, label
@@ -292,10 +301,19 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
         discard(spark, found)
         return n
 
+    def unsettled(met: DataFrame) -> DataFrame:
+        """(sig, doc, label, low, high) of the entries that still hold several components: low and high are (label, doc)."""
+        now = met.select("sig", "doc").join(label.select(F.col("node").alias("doc"), F.col("root").alias("label")), "doc", "left").select("sig", "doc", F.coalesce("label", "doc").alias("label"))
+        ends = now.groupBy("sig").agg(F.min(F.struct("label", "doc")).alias("low"), F.max(F.struct("label", "doc")).alias("high"), F.count("*").alias(TIMES)).where("low.label <> high.label")
+        ends = cut(ends, "ends")
+        out = cut(skewed(now, ends, ["sig"], ends.agg(F.sum(TIMES)).first()[0] or 0), "met")
+        discard(spark, met, ends)
+        return out
+
     for step in range(ROUNDS):
-        now, unsettled = open_entries(met, label)
-        center = unsettled.select("sig", F.col("high" if step % 2 else "low").alias("c"))
-        votes = now.join(center, "sig").where("label <> c.label").groupBy(F.col("doc").alias("u"), F.col("c.doc").alias("v")).agg(F.count("*").alias("times"))
+        met = unsettled(met)
+        center = "high" if step % 2 else "low"
+        votes = met.where(f"label <> {center}.label").groupBy(F.col("doc").alias("u"), F.col(f"{center}.doc").alias("v")).agg(F.count("*").alias("times"))
         for old in tried:
             votes = votes.join(old, ["u", "v"], "left_anti")
         near = within_reach(votes, reps, percent)
@@ -304,22 +322,15 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
         links += n
         if FEW * n <= links:
             break
-    now, unsettled = open_entries(met, label)
-    info = now.join(unsettled.select("sig"), "sig").join(reps.select(F.col("rep").alias("doc"), "n", "sketch"), "doc")
+    met = unsettled(met)
+    info = met.select("sig", "doc", "label").join(reps.select(F.col("rep").alias("doc"), "n", "sketch"), "doc")
     last = cut(close_pairs(info, percent), "pairs")
     compare(last)
-    discard(spark, met, last, reps, *tried)
+    discard(spark, met, last, reps, sets, edges, *tried)
     out = members.join(label.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
 
 
-def open_entries(met: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sig, doc, label) of all entries, and (sig, low, high) of those that still hold several components."""
-    now = met.join(label.select(F.col("node").alias("doc"), F.col("root").alias("label")), "doc", "left").select("sig", "doc", F.coalesce("label", "doc").alias("label"))
-    ends = now.groupBy("sig").agg(F.min(F.struct("label", "doc")).alias("low"), F.max(F.struct("label", "doc")).alias("high"))
-    return now, ends.where("low.label <> high.label")
-
-
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
