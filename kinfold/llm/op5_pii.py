@@ -2,10 +2,12 @@
 
 A surrogate is keyed and of the same type and format. Digits and letters go through a keyed permutation of all strings of
 their format (a Feistel network, walking on until the result is of the right kind), so distinct entities of a format get
-distinct surrogates and an entity gets the same one everywhere. Card numbers keep whether their check digit is right, IBANs
-keep country and valid check digits, addresses of private networks stay private, reserved mail domains stay reserved.
-Given names are permuted within the list of their gender and script; surnames (and given names in no list) become words of
-keyed syllables in the same script and case, and keep a feminine ending. Later mentions of a surname in its document
+distinct surrogates and an entity gets the same one everywhere, whatever its case, spacing or punctuation. Card numbers keep
+whether their check digit is right, IBANs keep country and valid check digits, phone numbers their country, addresses of
+private networks stay private, reserved mail domains stay reserved.
+Names are found behind titles, behind listed given names, and in lines that say so. Listed given names are permuted within
+the list of their gender and script; surnames (and given names in no list) become words of keyed syllables in the same
+script and case, and keep a feminine ending. Other mentions of a word of a name in its document, alone or in capitals,
 change with it.
 
 Collision check: all distinct entities of the corpus with their surrogates are aggregated. Where two entities share a
@@ -18,20 +20,22 @@ all tasks; more stay in a table that is joined with the texts.
 
 Defined cases: null stays null and empty stays empty; texts without entities are unchanged; overlapping finds count once,
 in the order mail, IBAN, address, card, social security number, phone, name; texts are searched whole; repeated rows give
-repeated results; an empty table gives an empty result; redact() keeps all other columns.
+repeated results; an empty table gives an empty result; redact() keeps all other columns, but for those named as a count
+that is asked for.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_columns, map_texts, table
+from .common import fresh, map_columns, map_texts, table
 
 KEY = b"kinfold surrogates"
 KINDS = ("email", "iban", "ip", "card", "ssn", "phone", "name")
@@ -42,19 +46,27 @@ EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = re.compile(rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\w)")
+#: May be an address of the newer kind: with two colons side by side, or eight groups.
+IP6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*::|(?:[0-9A-Fa-f]{1,4}:){7})[0-9A-Fa-f:]{6,39}(?![\w:])")
 CARD = re.compile(r"(?<![\w.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w]|\.\d)")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
-PHONE = re.compile(r"(?<![\w+])(?:\+\d{8,15}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}([.-])\d{3}\1\d{4})(?!\w)")
+PHONE = re.compile(r"(?<![\w+])(?:\+\d{8,15}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}([.-])\d{3}\1\d{4}|(?<!\d )(?:\d{3} \d{3} \d{4}|0\d{2,4} \d{3,4} \d{3,4})(?! ?\d))(?!\w)")
 _UP = "A-ZÀ-ÖØ-ÞА-ЯЁ"
 _WORD = rf"[{_UP}][\w'’-]+"
-NAME = re.compile(rf"\b([{_UP}][\w.]*)[ \t]+({_WORD})(?:[ \t]+({_WORD}))?")
+#: A first word, initials and particles, up to three words more.
+NAME = re.compile(rf"\b([{_UP}][\w.'’-]*)(?:[ \t]+(?:[{_UP}]\.|van|von|zu|de|der|den|di|da|la|le|bin|al|del|dos))*[ \t]+({_WORD})(?:[ \t]+({_WORD}))?(?:[ \t]+({_WORD}))?")
+#: Lines and phrases that say what follows is a name.
+CUE = re.compile(rf"(?:(?:^|(?<=[\n,;(]))[ \t]*(?:Full )?[Nn]ame:|\b[Mm]y name is)[ \t]+({_WORD})(?:[ \t]+[{_UP}]\.)*[ \t]+({_WORD})(?:[ \t]+({_WORD}))?")
+MENTION = re.compile(rf"(?<!\w)[{_UP}]\w+(?:['’-]\w+)*")
 
 #: Titles by gender; a capitalised word or two behind one is a name.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Mister": "m", "Sir": "m", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f", "Señor": "m", "Señora": "f", "Sra": "f", "Dr": "", "Prof": "", "Господин": "m", "Госпожа": "f"}
 #: Given names by script and gender.
 GIVEN = {
-    ("latin", "m"): "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Steven Paul Andrew Kevin Brian George Hans Klaus Jürgen Stefan Uwe Jean Pierre Michel Luc Juan Carlos José Luis Pedro Miguel".split(),
-    ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Donna Michelle Carol Laura Ursula Monika Sabine Petra Heike Marie Sophie Camille Claire María Carmen Ana Isabel Lucía Elena".split(),
+    ("latin", "m"): "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Steven Paul Andrew Kevin Brian George Hans Klaus Jürgen Stefan Uwe Jean Pierre Michel Luc Juan Carlos José Luis Pedro Miguel "
+    "Wei Hiroshi Kenji Raj Arjun Ravi Sanjay Amit Vikram Mohammed Ahmed Omar Hassan Yusuf Mehmet Sergei Dmitri Pavel Tomasz Piotr Lars Sven Erik Antonio Marco Giuseppe Paolo Diego Alejandro João".split(),
+    ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Donna Michelle Carol Laura Ursula Monika Sabine Petra Heike Marie Sophie Camille Claire María Carmen Ana Isabel Lucía Elena "
+    "Ann Anne Jane Mei Yuki Priya Ananya Lakshmi Sunita Deepa Fatima Aisha Layla Zeynep Natasha Olga Anna Julia Katarzyna Ingrid Astrid Giulia Francesca Chiara Valentina Sofia Gabriela Beatriz".split(),
     ("cyrillic", "m"): "Александр Алексей Андрей Борис Виктор Владимир Дмитрий Иван Михаил Николай Павел Сергей".split(),
     ("cyrillic", "f"): "Анна Вера Галина Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна Юлия".split(),
 }
@@ -129,17 +141,23 @@ def permuted_string(x: str, key: bytes, tweak: str) -> str:
 RESERVED = re.compile(r"(?:^|\.)(?:example\.(?:com|org|net)|test|example|invalid|localhost)$", re.I)
 
 
+def lowered(x: str) -> str:
+    """A-Z in lower case; everything keeps its place."""
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in x)
+
+
 def _email(x: str, key: bytes, tweak: str) -> str:
-    local, _, domain = x.rpartition("@")
+    """The case of an address makes no difference; the surrogate has capitals in the same places."""
+    low = lowered(x)
+    local, _, domain = low.rpartition("@")
     m = RESERVED.search(domain)
     at = m.start() if m else domain.rindex(".")
-    # A mail address may be in any case; the surrogate keeps it.
     host = ".".join(permuted_string(p, key, "host") for p in domain[:at].split(".")) if at else ""
     new = permuted_string(local, key, f"{tweak}|{len(local)}")
     other = [c for c in local if c.isalpha() and not c.isascii()]
     if other:
         new = "".join(chr(permuted(ord(c) - 0xE0, 23, key, tweak, lambda v: v != 0xF7 - 0xE0) + 0xE0) if 0xE0 <= ord(c) < 0xF7 else c for c in new)
-    return f"{new}@{host}{domain[at:]}"
+    return "".join(n if o == c else n.upper() for n, o, c in zip(f"{new}@{host}{domain[at:]}", x, low, strict=True))
 
 
 def _iban(x: str, key: bytes, tweak: str) -> str:
@@ -157,7 +175,23 @@ def _network(n: int) -> int:
     return 1 if n >> 24 == 10 else 2 if n >> 20 == 0xAC1 else 3 if n >> 16 == 0xC0A8 else 4 if n >> 24 == 127 else 0
 
 
+def _network6(x: str) -> tuple[int, int]:
+    """(address, bits that may change): private, link-local and documentation networks stay what they are."""
+    n = int(ipaddress.IPv6Address(x))
+    return n, 121 if n >> 121 == 0x7E else 118 if n >> 118 == 0x3FA else 96 if n >> 96 == 0x20010DB8 else 112
+
+
+def _ip6(x: str, key: bytes, tweak: str) -> str:
+    """Two colons side by side stay if the address allows it."""
+    n, bits = _network6(x)
+    new = ipaddress.IPv6Address(n >> bits << bits | permuted(n & ((1 << bits) - 1), 1 << bits, key, f"{tweak}|6|{bits}|{n >> bits}"))
+    out = new.compressed if "::" in x else ":".join(f"{int(g, 16):x}" for g in new.exploded.split(":"))
+    return out.upper() if x.isupper() else out
+
+
 def _ip(x: str, key: bytes, tweak: str) -> str:
+    if ":" in x:
+        return _ip6(x, key, tweak)
     n = 0
     for p in x.split("."):
         n = n << 8 | int(p)
@@ -174,10 +208,19 @@ def _card(x: str, key: bytes, tweak: str) -> str:
     return put_digits(x, str(new).zfill(len(d)))
 
 
-def _phone(x: str, key: bytes, tweak: str) -> str:
+def phone_parts(x: str) -> tuple[str, str]:
+    """(digits that stay, digits that change). Numbers of ten digits are the same with or without +1."""
     d = only_digits(x)
-    n = min(10, len(d))
-    return put_digits(x, d[: len(d) - n] + str(permuted(int(d[-n:]), 10**n, key, f"{tweak}|{n}")).zfill(n))
+    if d[0] == "0" or (len(d) == 11 and d[0] == "1"):
+        return d[0].strip("1"), d[1:]
+    n = min(10, len(d) - 2) if x.startswith("+") else len(d)
+    return d[: len(d) - n], d[len(d) - n :]
+
+
+def _phone(x: str, key: bytes, tweak: str) -> str:
+    stays, body = phone_parts(x)
+    n, d = len(body), only_digits(x)
+    return put_digits(x, d[: len(d) - n] + str(permuted(int(body), 10**n, key, f"{tweak}|{stays}|{n}")).zfill(n))
 
 
 def _ssn(x: str, key: bytes, tweak: str) -> str:
@@ -213,12 +256,18 @@ def norm(kind: str, x: str) -> str:
     if kind in ("card", "ssn"):
         return only_digits(x)
     if kind == "phone":
-        return only_digits(x)[-10:]
-    return x.replace(" ", "") if kind == "iban" else x.lower() if kind == "name" else x
+        stays, body = phone_parts(x)
+        return f"+{stays} {body}" if stays else body
+    if kind == "ip":
+        return ipaddress.IPv6Address(x).compressed if ":" in x else x
+    return x.replace(" ", "") if kind == "iban" else x.lower() if kind == "name" else lowered(x)
 
 
 def space(kind: str, x: str) -> tuple[str, int]:
     """Format of an entity (as norm() has it), and how many values it has."""
+    if kind == "ip" and ":" in x:
+        n, bits = _network6(x)
+        return f"6|{bits}|{n >> bits}", 1 << bits
     if kind == "ip":
         n = 0
         for p in x.split("."):
@@ -228,7 +277,8 @@ def space(kind: str, x: str) -> tuple[str, int]:
     if kind == "card":
         return f"{len(x)}|{luhn(x)}", 10 ** (len(x) - 1) * (1 if luhn(x) else 9)
     if kind in ("ssn", "phone"):
-        return str(len(x)), 10 ** len(x)
+        stays, _, body = x.rpartition(" ")
+        return f"{stays}|{len(body)}", 10 ** len(body)
     if kind == "name":
         return "", 0
     rest, body = (x[:4], x[4:]) if kind == "iban" else (x[x.rindex("@") :], x[: x.rindex("@")])
@@ -269,46 +319,93 @@ def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind), apart and in order; a name has a span for each of its words."""
     out: list[tuple[int, int, str]] = []
 
-    def add(spans) -> None:
-        for a, b, k in spans:
-            if not any(s < b and a < e for s, e, _ in out):
-                out.append((a, b, k))
+    def add(spans, kind: str) -> None:
+        """Spans, in order, that overlap none of those before."""
+        nonlocal out
+        i, new = 0, []
+        for a, b in spans:
+            while i < len(out) and out[i][1] <= a:
+                i += 1
+            if (i == len(out) or out[i][0] >= b) and (not new or new[-1][1] <= a):
+                new.append((a, b, kind))
+        if new:
+            out = sorted(out + new)
 
     if "@" in text:
-        add((*m.span(), "email") for m in EMAIL.finditer(text))
-    if DIGITS.search(text):
-        add((*m.span(), "iban") for m in IBAN.finditer(text) if any(c.isdigit() for c in m.group()[4:]))
-        add((*m.span(), "ip") for m in IP.finditer(text))
+        add((m.span() for m in EMAIL.finditer(text)), "email")
+    digits = DIGITS.search(text)
+    if digits:
+        add((m.span() for m in IBAN.finditer(text) if any(c.isdigit() for c in m.group()[4:])), "iban")
+        add((m.span() for m in IP.finditer(text)), "ip")
+    if "::" in text or COLONS.search(text):
+        add((m.span() for m in IP6.finditer(text) if is_ip6(m.group())), "ip")
+    if digits:
         for kind, pattern in (("card", CARD), ("ssn", SSN), ("phone", PHONE)):
-            add((*m.span(), kind) for m in pattern.finditer(text))
+            add((m.span() for m in pattern.finditer(text)), kind)
     names = name_spans(text)
     if names:
-        add((a, b, "name") for a, b in names)
-        words = {text[a:b] for a, b in names if text[a:b].capitalize() not in GENDER}
-        if words:
-            again = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, words), key=lambda w: (-len(w), w))) + r")(?!\w)")
-            add((*m.span(), "name") for m in again.finditer(text))
-    return sorted(out)
+        add(names, "name")
+        words = {text[a:b].lower() for a, b in names}
+        add(mentions(text, words), "name")
+    return out
 
 
 DIGITS = re.compile(r"\d[\d ().-]{5}")
+COLONS = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){7}")
+
+
+def is_ip6(x: str) -> bool:
+    """Whether it is an address with three groups and a digit at least."""
+    try:
+        ipaddress.IPv6Address(x)
+    except ValueError:
+        return False
+    return sum(g != "" for g in x.split(":")) >= 3 and any(c.isdigit() for c in x)
+
+
+def given(word: str) -> bool:
+    """Whether a word, or what stands before its hyphen, is a listed given name, maybe in capitals."""
+    w = word.split("-")[0]
+    return w in GENDER or (len(w) > 1 and w.isupper() and w.capitalize() in GENDER)
+
+
+def word_span(m: re.Match, g: int) -> tuple[int, int]:
+    """A group's span without the ending of a genitive."""
+    a, b = m.span(g)
+    return a, b - 2 if m[g].endswith(("'s", "’s")) else b
 
 
 def name_spans(text: str) -> list[tuple[int, int]]:
+    """Words of names: behind a title or a listed given name (with one more if those are given names too), or a cue."""
     out, at = [], 0
     while m := NAME.search(text, at):
-        lead = m.group(1).rstrip(".")
-        if lead in TITLES and not (m.group(1).endswith(".") and len(m.group(1)) - len(lead) > 1):
-            out += [m.span(g) for g in (2, 3) if m.group(g)]
-            at = m.end()
-        elif lead in GENDER and "." not in m.group(1):
-            out += [m.span(1), m.span(2)]
-            at = m.end(2)
+        lead = m[1].rstrip(".")
+        if lead in TITLES and not (m[1].endswith(".") and len(m[1]) - len(lead) > 1):
+            own = [g for g in (2, 3) if m[g]] + ([4] if m[4] and given(m[2]) and given(m[3]) else [])
+        elif given(lead) and "." not in m[1] and (not lead.isupper() or m[2].isupper()):
+            own = [1, 2] + ([3] if m[3] and given(m[2]) else [])
         else:
-            at = m.end(1)
+            own = []
+        out += [word_span(m, g) for g in own]
+        at = m.end(own[-1]) if own else m.end(1)
+    if "ame:" in text or "name is" in text:
+        out = sorted({*out, *(word_span(m, g) for m in CUE.finditer(text) for g in (1, 2, 3) if m[g] and (g < 3 or given(m[2])))})
     return out
 
 
+def mentions(text: str, words: set[str]):
+    """Spans of the words (in lower case) wherever they begin with a capital; of joined words each is looked at."""
+    for m in MENTION.finditer(text):
+        if m[0].lower() in words:
+            yield m.span()
+        elif len(parts := re.split("['’-]", m[0])) > 1:
+            at = m.start()
+            for p in parts:
+                if p[:1].isupper() and p.lower() in words:
+                    yield at, at + len(p)
+                at += len(p) + 1
+
+
 def replaced(text: str, spans: list[tuple[int, int, str]], make: Surrogates) -> str:
     out, last = [], 0
     for a, b, kind in spans:
@@ -413,38 +510,37 @@ def checked(docs: DataFrame, key: bytes = KEY, syllables: int = 4) -> Surrogates
     return make
 
 
-def with_exceptions(docs: DataFrame, more: DataFrame) -> DataFrame:
-    """docs with a column of the exceptions in each text."""
+def with_exceptions(docs: DataFrame, more: DataFrame, row: str, column: str) -> DataFrame:
+    """docs with a column of the exceptions in each text. row: a name for numbers of rows that docs has no column of."""
     from .common import cut
 
-    rows = cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
 
     def run(parts):
         for p in parts:
-            got = [(i, *e) for i, text in zip(p[ROW], p["text"], strict=True) for e in sorted({(k, norm(k, text[a:b])) for a, b, k in find(text or "")})]
-            yield {k: [x[i] for x in got] for i, k in enumerate((ROW, "kind", "entity"))}
-
-    each = map_columns(rows.select(ROW, "text"), run, f"{ROW} long, kind string, entity string").join(more, ["kind", "entity"])
-    lists = each.groupBy(ROW).agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias(EXCEPTIONS))
-    return rows.join(lists, ROW, "left").drop(ROW)
-
+            got = [(i, *e) for i, text in zip(p[row], p["text"], strict=True) for e in sorted({(k, norm(k, text[a:b])) for a, b, k in find(text or "")})]
+            yield {k: [x[i] for x in got] for i, k in enumerate((row, "kind", "entity"))}
 
-ROW, EXCEPTIONS = "_kinfold_row", "_kinfold_exceptions"
+    each = map_columns(rows.select(row, "text"), run, f"{row} long, kind string, entity string").join(more, ["kind", "entity"])
+    lists = each.groupBy(row).agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias(column))
+    return rows.join(lists, row, "left").drop(row)
 
 
 def redact(docs: DataFrame, make: Surrogates | None = None, counts: bool = False) -> DataFrame:
     """docs with surrogates in text (and n_chars brought up to date); counts: with n_<kind> of all kinds."""
     make = make or checked(docs)
     more = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS] if counts else []
+    docs = docs.drop(*(x.name for x in more))
     schema = T.StructType([*docs.schema.fields, *more])
+    row, column = fresh(docs, "kinfold_row"), fresh(docs, "kinfold_exceptions")
     if make.more is not None:
-        docs, make = with_exceptions(docs, make.more), Surrogates(make.key, make.syllables)
+        docs, make = with_exceptions(docs, make.more, row, column), Surrogates(make.key, make.syllables)
 
     def f(part, texts: list[str]) -> dict:
         found = [find(x) for x in texts]
         makes = [make] * len(texts)
-        if EXCEPTIONS in part.schema.names:
-            own = part.column(part.schema.get_field_index(EXCEPTIONS)).to_pylist()
+        if column in part.schema.names:
+            own = part.column(part.schema.get_field_index(column)).to_pylist()
             makes = [Surrogates(make.key, make.syllables, {(e["kind"], e["entity"]): e["attempt"] for e in x or ()}) for x in own]
         new = [replaced(x, s, m) if s else x for x, s, m in zip(texts, found, makes, strict=True)]
         null = part.column(part.schema.get_field_index("text")).is_null().to_pylist()
