@@ -6,16 +6,20 @@ documents in ascending doc_id order, then a frame that readers of plain zstandar
 seek table in zstandard's seekable format: sizes and a checksum of every frame. A reader gets the table from the end of
 the file and decompresses only the documents that are asked for.
 
-Encoding: no token crosses white space, so texts are cut there, after A-Z went to lower case as the library would have it
-(not where it might join marks to a letter first, nor near its special tokens). Ids of the distinct parts of a batch are
-kept; only parts not seen before go through the library, all of a batch together.
-
-Frames, not texts, are dealt out to the files, by ranges of doc_id from a quantile summary. Files get their name by
-range, are written under a name of the attempt and then renamed, so a repeated task leaves the same file.
-
-Defined cases: null and empty texts have the end id only; rows with one doc_id stay next to each other, in the order of
-their lengths and checksums; rows without a doc_id come first; an empty table gives no file and an empty result; other
-columns are ignored.
+Encoding: with a tokenizer that normalises and splits as AS_WRITTEN says, no token crosses white space, so texts are cut
+there, after A-Z went to lower case as the library would have it (not where it might join marks to a letter first, nor
+near its special tokens). Ids of the distinct parts of a batch are kept; only parts not seen before go through the
+library, all of a batch together. Texts go through any other tokenizer whole.
+
+Files hold ranges of about equal bytes: the keys and sizes of all rows (not their texts) are sorted in ranges of a few
+files, and each range is cut where its running sum of bytes says; only the first key of every file reaches the driver.
+Frames, not texts, are then dealt out, one file to a task. Files get their name by range, are written under a name of the
+attempt and then renamed, so a repeated task leaves the same file.
+
+Defined cases: null and empty texts have the end id only; rows with one doc_id stay next to each other, in the order of a
+hash of their texts, and may be in several files (rows that are alike in both are in one); rows without a doc_id come
+first (in the files their id is -2 ** 63); a file holds at most about FILE_BYTES of text, or one text; an empty table
+gives no file and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +47,21 @@ FILE_BYTES = 64 << 20
 #: Bytes of text that are encoded together (one text may have more).
 TOGETHER = 8 << 20
 
+#: Files whose rows are sorted in one task, and rows of these at most.
+FILES, ROWS = 8, 1 << 20
+
+#: How the tokenizers that words can be encoded one by one for normalise texts and split them.
+AS_WRITTEN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
 # Fixed values of zstandard's seekable format.
 SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
@@ -58,8 +77,12 @@ class Encoder:
         self.most, self.longest = most, longest
         self.known: dict[bytes, bytes] = {}
         self.stops = {c: self._encoded([c.decode()])[0] for c in (b".", b",")}
-        # The same vocabulary and merges for single words in lower case, without the steps that leave these alone.
         spec = json.loads(self.tokenizer.to_str())
+        special = {t["content"] for t in spec["added_tokens"]}
+        self.by_word = all(spec[k] == v for k, v in AS_WRITTEN.items()) and spec["model"]["type"] == "BPE" and spec["model"]["end_of_word_suffix"] == "</w>" and all(x.startswith("<|") for x in special)
+        if not self.by_word:
+            return
+        # The same vocabulary and merges for single words in lower case, without the steps that leave these alone.
         spec["normalizer"] = None
         spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
         self.single = Tokenizer.from_str(json.dumps(spec))
@@ -99,9 +122,12 @@ class Encoder:
 
     def __call__(self, texts: pa.Array, end: int = END_ID) -> list[bytes]:
         """Ids of each text (null as empty) and the end id, as little-endian unsigned 32-bit numbers."""
+        tail = struct.pack("<I", end)
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            return [x + tail for x in self._encoded(texts.to_pylist())]
         known = self.known
         full = len(known) > self.most
-        texts = pc.fill_null(texts, "")
         low = pc.if_else(pc.match_substring_regex(texts, "<\\||[\u0300-\u036f]"), texts, pc.ascii_lower(texts))
         parts = pc.ascii_split_whitespace(low)
         each = parts.flatten().dictionary_encode()
@@ -126,7 +152,6 @@ class Encoder:
         take += np.arange(len(take))
         flat = ids[take]
         bounds = np.concatenate(([0], ends))[parts.offsets.to_numpy() - parts.offsets[0].as_py()].tolist()
-        tail = struct.pack("<I", end)
         out = [flat[a:b].tobytes() + tail for a, b in zip(bounds, bounds[1:], strict=False)]
         for w in words:
             if len(w) > self.longest:
@@ -173,7 +198,7 @@ class Writer:
     def add(self, doc_id: int | None, frame: bytes, size: int, checksum: int) -> None:
         self.out.write(frame)
         self.entries.append((len(frame), size, checksum))
-        self.ids.append(-(1 << 63) if doc_id is None else doc_id)
+        self.ids.append(NO_ID if doc_id is None else doc_id)
         self.tokens += size // 4
 
     def close(self) -> None:
@@ -241,12 +266,46 @@ def slices(batch: pa.RecordBatch, most: int):
         at = stop
 
 
+NO_ID = -(1 << 63)
+
+
+def first_keys(docs: DataFrame, file_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(doc_id, hash of the text) of the first row of every file but the first one, in order."""
+    size = F.octet_length("text")
+    total, rows = docs.agg(F.sum(F.coalesce(size, F.lit(0)) + 16), F.count("*")).first()
+    ranges = max(1, -(-(total or 0) // (FILES * file_bytes)), -(-rows // ROWS))
+    keys = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("h"), (F.coalesce(size, F.lit(0)) + 16).alias("bytes"))
+
+    def run(parts):
+        held = [(np.array(p["id"], dtype=np.int64), np.array(p["h"], dtype=np.int64), np.array(p["bytes"], dtype=np.int64)) for p in parts]
+        if held:
+            i, h, n = map(np.concatenate, zip(*held, strict=True))
+            before = np.cumsum(n) - n
+            files = -(-int(n.sum()) // file_bytes)
+            at = np.unique(np.searchsorted(before, np.arange(files) * (n.sum() / files)))
+            yield {"id": i[at[at < len(i)]], "h": h[at[at < len(i)]]}
+
+    dealt = keys.repartitionByRange(ranges, "id", "h").sortWithinPartitions("id", "h")
+    got = sorted(map(tuple, map_columns(dealt, run, "id long, h long").distinct().collect()))[1:]
+    return np.array([x[0] for x in got], dtype=np.int64), np.array([x[1] for x in got], dtype=np.int64)
+
+
+def files_of(ids: np.ndarray, hashes: np.ndarray, first: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Number of the file that each key belongs to."""
+    low, high = np.searchsorted(first[0], ids, "left"), np.searchsorted(first[0], ids, "right")
+    # Files that begin within the rows of one id.
+    for k in np.flatnonzero(low != high).tolist():
+        high[k] = low[k] + np.searchsorted(first[1][low[k] : high[k]], hashes[k], "right")
+    return high.astype(np.int32)
+
+
 def write(docs: DataFrame, tokenizer_file: str, folder: str, file_bytes: int = FILE_BYTES, end: int = END_ID) -> list[tuple[int, str, int, int]]:
     """Write docs (doc_id, text) into folder; [(first id's place, file, documents, ids)] in order, one for each file."""
-    total = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = max(1, -(-total // file_bytes))
-    grid = docs.select(F.percentile_approx("doc_id", F.array(*(F.lit(k / n) for k in range(1, n))), 20_000)).first()[0] if n > 1 else []
-    edges = np.unique(np.array(grid or [], dtype=np.int64))
+    ship(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    first = first_keys(docs, file_bytes)
+    n = len(first[0]) + 1
+    shipped = docs.sparkSession.sparkContext.broadcast(first)
 
     def encode(batches):
         from xxhash import xxh64_intdigest
@@ -259,10 +318,10 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str, file_bytes: int = F
             for p in slices(whole, TOGETHER):
                 ids = p.column(0)
                 raw = enc(p.column(1), end)
-                file = np.searchsorted(edges, pc.fill_null(ids, -(1 << 63)).to_numpy(zero_copy_only=False), "right").astype(np.int32)
+                file = files_of(pc.fill_null(ids, NO_ID).to_numpy(zero_copy_only=False), p.column(2).to_numpy(zero_copy_only=False), shipped.value)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([pack(x) for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64()), pa.array([xxh64_intdigest(x) & 0xFFFFFFFF for x in raw], pa.int64()), pa.array(file)],
-                    names=["doc_id", "frame", "size", "checksum", "file"],
+                    [ids, p.column(2), pa.array([pack(x) for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64()), pa.array([xxh64_intdigest(x) & 0xFFFFFFFF for x in raw], pa.int64()), pa.array(file)],
+                    names=["doc_id", "h", "frame", "size", "checksum", "file"],
                 )
 
     def store(parts):
@@ -279,9 +338,8 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str, file_bytes: int = F
             out.close()
             yield {"file": [at], "docs": [len(out.ids)], "tokens": [out.tokens]}
 
-    ship(docs.sparkSession)
-    frames = docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, frame binary, size long, checksum long, file int")
-    dealt = frames.repartition(len(edges) + 1, "file").sortWithinPartitions("file", "doc_id", "size", "checksum")
+    frames = docs.withColumn("h", F.xxhash64("text")).mapInArrow(encode, "doc_id long, h long, frame binary, size long, checksum long, file int")
+    dealt = frames.repartitionById(n, F.col("file")).sortWithinPartitions("file", "doc_id", "h")
     made = map_columns(dealt, store, "file int, docs long, tokens long").collect()
     out, first = [], 0
     for r in sorted(made):
@@ -301,9 +359,9 @@ def read(spark: SparkSession, files: list[tuple[int, str, int, int]]) -> DataFra
                     some = range(at, min(at + 2000, len(r)))
                     data = [r.tokens(k) for k in some]
                     ids = r.ids[at : at + 2000]
-                    yield {"doc_id": pa.array(ids, mask=ids == -(1 << 63)), "start": pa.array(r.first[at : at + 2000] + first), "n_tokens": [len(x) // 4 for x in data], "ids_crc32": [zlib.crc32(x) for x in data]}
+                    yield {"doc_id": pa.array(ids, mask=ids == NO_ID), "start": pa.array(r.first[at : at + 2000] + first), "n_tokens": [len(x) // 4 for x in data], "ids_crc32": [zlib.crc32(x) for x in data]}
 
-    table_ = spark.createDataFrame([(a, b) for a, b, _, _ in files], "first long, path string").repartition(max(1, len(files)))
+    table_ = spark.createDataFrame([(k, a, b) for k, (a, b, _, _) in enumerate(files)], "k int, first long, path string").repartitionById(max(1, len(files)), F.col("k"))
     return map_columns(table_, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
