@@ -5,18 +5,21 @@ the length of the longest run of words, ending here, that some item has. A run a
 words as hit; an item shorter than the window marks them when it occurs whole. Words that no item has end a run, so only
 stretches of words of the items' vocabulary are streamed.
 
-The automaton is built on the executors from the items' words. Items are sent there in blocks of BLOCK_WORDS words at
-most; benchmarks of more words take one pass over the documents for each block.
+The automaton is built on the executors from the items' words. Items are dealt by a hash into blocks of about BLOCK_WORDS
+words, which go through the driver one at a time. A benchmark of more than one block first sorts out the documents: a bit
+table of the hashes of all windows (of fixed size, at most 2 ** MOST_BITS bits) tells which may hold one; only these are
+then streamed, once for each block.
 
 Defined cases: null and empty texts have no words; items without words or without an id are left out; with no items
-nothing is hit; repeated items each count; repeated rows of documents give repeated results; texts of any length are
-streamed whole; an empty table gives an empty result; other columns are kept by remove_spans() and ignored by scan().
+nothing is hit; repeated items each count, equal rows of items once; repeated rows of documents give repeated results;
+texts of any length are streamed whole; an empty table gives an empty result; other columns, of any name, are kept by
+remove_spans() and ignored by scan().
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, cut, map_texts, table
+from .common import LOWER, WordHashes, cut, discard, fresh, keeps, map_columns, map_texts, mix, shingle_hashes, table
 
 WINDOW, BLOCK_WORDS = 10, 400_000
+#: The bit table has this many bits for a window, and as a power of two at most so many in all.
+BITS, MOST_BITS = 256, 30
 #: remove_spans() leaves out a document of which so many percent of the words are hit.
 COVERAGE = 80
 
@@ -148,6 +153,8 @@ class Automaton:
 
 
 _built: dict[str, Automaton] = {}
+_hashes = WordHashes()
+keeps(__name__, lambda: (_built.clear(), _hashes.place.clear()))
 
 
 def automaton(items: list[tuple[int, list[bytes]]], window: int, key: str) -> Automaton:
@@ -157,49 +164,110 @@ def automaton(items: list[tuple[int, list[bytes]]], window: int, key: str) -> Au
     return _built[key]
 
 
-def blocks(items: DataFrame, most: int) -> list[list[tuple[int, list[bytes]]]]:
-    """Items as words, in blocks of so many words at most (a longer item is a block of its own)."""
-    out: list[list] = [[]]
-    size = 0
-    rows = items.where(F.col("item_id").isNotNull()).select("item_id", F.col("text").cast("binary").alias("text"))
-    for r in sorted(rows.toLocalIterator(), key=lambda r: r["item_id"]):
-        if words := words_of(bytes(r["text"] or b"")):
-            if size and size + len(words) > most:
-                out.append([])
-                size = 0
-            out[-1].append((r["item_id"], words))
-            size += len(words)
-    return out
+class Items:
+    """The items of a benchmark, in blocks of about so many words (a longer item is one by itself)."""
+
+    def __init__(self, items: DataFrame, window: int, most: int):
+        words = F.size(F.filter(F.split(F.lower("text"), r"[^0-9a-z\x{80}-\x{10FFFF}]+"), lambda x: x != ""))
+        self.rows = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
+        self.window, self.words = window, self.rows.agg(F.sum(words)).first()[0] or 0
+        self.n = max(1, -(-self.words // most))
+
+    def block(self, k: int) -> list[tuple[int, list[bytes]]]:
+        own = self.rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(self.n)) == k) if self.n > 1 else self.rows
+        got = sorted((r["item_id"], words_of(bytes(r["text"]))) for r in own.select("item_id", F.col("text").cast("binary").alias("text")).toLocalIterator())
+        return [(i, words) for i, words in got if words]
+
+    def bits(self) -> tuple[np.ndarray, list[int]]:
+        """A bit table of all windows, in 64-bit words, and the lengths that these have."""
+        size = min(MOST_BITS, max(16, (self.words * BITS).bit_length()))
+        window = self.window
+
+        def run(parts):
+            for p in parts:
+                at, bit, lengths = [], [], set()
+                for x in p["text"]:
+                    h = _hashes(words_of(bytes(x)))
+                    if len(h):
+                        lengths.add(min(window, len(h)))
+                        both = np.concatenate(places(shingle_hashes(h, window), size))
+                        at.append(both >> np.uint64(6))
+                        bit.append(np.uint64(1) << (both & np.uint64(63)))
+                word = np.concatenate([*at, np.array(sorted(-k for k in lengths), dtype=np.int64).view(np.uint64)]).view(np.int64)
+                yield {"word": pa.array(word), "bit": pa.array(np.concatenate([*bit, np.zeros(len(lengths), dtype=np.uint64)]).view(np.int64))}
+
+        # Negative words stand for lengths. At most 2 ** (MOST_BITS - 6) words reach the driver.
+        got = map_columns(self.rows.select(F.col("text").cast("binary").alias("text")), run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+        word, bit = got.column("word").to_numpy(), got.column("bit").to_numpy()
+        out = np.zeros(1 << (size - 6), dtype=np.uint64)
+        out[word[word >= 0]] = bit[word >= 0].view(np.uint64)
+        return out, sorted(-word[word < 0])
+
+
+def places(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in a bit table for each hash."""
+    return h >> np.uint64(64 - size), mix(h) >> np.uint64(64 - size)
+
+
+def may_hold(words: list[bytes], table_: np.ndarray, lengths: list[int]) -> bool:
+    """Whether a window of the table may be among the words."""
+    h, size = _hashes(words), len(table_).bit_length() + 5
+    for k in lengths:
+        if len(h) >= k:
+            a, b = places(shingle_hashes(h, k), size)
+            if np.any((table_[a >> np.uint64(6)] >> (a & np.uint64(63))) & (table_[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1)):
+                return True
+    return False
 
 
 HITS = [T.StructField("kinfold_words", T.LongType()), T.StructField("kinfold_spans", T.ArrayType(T.LongType())), T.StructField("kinfold_items", T.ArrayType(T.LongType()))]
 
 
-def with_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int = BLOCK_WORDS) -> DataFrame:
-    """docs with kinfold_words (their number), kinfold_spans (start and end word of each stretch in turn) and kinfold_items."""
+def with_hits(docs: DataFrame, items: Items) -> DataFrame:
+    """docs with kinfold_words (their number), kinfold_spans (start and end word of each stretch in turn) and kinfold_items.
+
+    docs has no columns of these names.
+    """
     schema = T.StructType([*docs.schema.fields, *HITS])
+    if items.n == 1:
+        return streamed(docs, items.block(0), items.window, schema)
+    bits, lengths = items.bits()
+    shipped = docs.sparkSession.sparkContext.broadcast(bits)
+    sorted_ = T.StructType([*docs.schema.fields, HITS[0], T.StructField("kinfold_may", T.BooleanType())])
+
+    def f(_, texts: list[bytes]) -> dict:
+        words = [words_of(x) for x in texts]
+        return {"kinfold_words": list(map(len, words)), "kinfold_may": [may_hold(w, shipped.value, lengths) for w in words]}
+
+    parted = map_texts(docs, f, sorted_, as_bytes=True)
     empty = F.array().cast("array<bigint>")
-    out = docs.withColumn("kinfold_words", F.lit(0).cast("long")).withColumn("kinfold_spans", empty).withColumn("kinfold_items", empty)
-    todo = blocks(items, most)
-    for k, block in enumerate(todo):
-        key = hashlib.sha256(repr((window, block)).encode()).hexdigest()
-
-        def f(part, texts: list[bytes], block=block, key=key) -> dict:
-            a = automaton(block, window, key)
-            n, spans, found = [], [], []
-            before = zip(part.column(part.schema.get_field_index("kinfold_spans")).to_pylist(), part.column(part.schema.get_field_index("kinfold_items")).to_pylist(), strict=True)
-            for text, (old, had) in zip(texts, before, strict=True):
-                words = words_of(text)
-                got, ids = a.hits(words)
-                n.append(len(words))
-                spans.append([x for s in joined([*zip(old[::2], old[1::2], strict=True), *got]) for x in s])
-                found.append(sorted(ids | set(had)))
-            return {"kinfold_words": n, "kinfold_spans": spans, "kinfold_items": found}
-
-        out = map_texts(out, f, schema, as_bytes=True)
-        if k + 1 < len(todo):
-            out = cut(out, "hits")
-    return out
+    none = parted.where("NOT kinfold_may").drop("kinfold_may").withColumn("kinfold_spans", empty).withColumn("kinfold_items", empty)
+    out = parted.where("kinfold_may").drop("kinfold_may", "kinfold_words")
+    for k in range(items.n):
+        old, out = out, cut(streamed(out, items.block(k), items.window, schema), "hits")
+        if k:
+            discard(docs.sparkSession, old)
+    return none.unionByName(out)
+
+
+def streamed(docs: DataFrame, block: list[tuple[int, list[bytes]]], window: int, schema: T.StructType) -> DataFrame:
+    """docs with the hits of a block of items, added to those that it may have already."""
+    key = uuid.uuid4().hex
+    has = "kinfold_spans" in docs.columns
+
+    def f(part, texts: list[bytes]) -> dict:
+        a = automaton(block, window, key)
+        n, spans, found = [], [], []
+        of = lambda c: part.column(part.schema.get_field_index(c)).to_pylist() if has else [()] * len(texts)
+        for text, old, had in zip(texts, of("kinfold_spans"), of("kinfold_items"), strict=True):
+            words = words_of(text)
+            got, ids = a.hits(words)
+            n.append(len(words))
+            spans.append([x for s in joined([*zip(old[::2], old[1::2], strict=True), *got]) for x in s])
+            found.append(sorted(ids | set(had)))
+        return {"kinfold_words": n, "kinfold_spans": spans, "kinfold_items": found}
+
+    return map_texts(docs, f, schema, as_bytes=True)
 
 
 def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -212,48 +280,51 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int = BLOCK_WORDS) -> DataFrame:
     """One row per row of docs: words, hit words, items that occur."""
     n_hit = F.aggregate(F.sequence(F.lit(0), F.size("kinfold_spans") - 1), F.lit(0).cast("long"), lambda acc, i: acc + F.when(i % 2 == 1, F.get("kinfold_spans", i)).otherwise(-F.get("kinfold_spans", i)))
     ids = F.array_join(F.array_sort(F.transform("kinfold_items", lambda x: x.cast("string"))), ",")
     return (
-        with_hits(docs.select("doc_id", "text"), items, window)
+        with_hits(docs.select("doc_id", "text"), Items(items, window, most))
         .withColumn("n_hit", F.when(F.size("kinfold_spans") > 0, n_hit).otherwise(F.lit(0).cast("long")))
         .select("doc_id", F.col("kinfold_words").alias("n_words"), "n_hit", F.size("kinfold_items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
     )
 
 
-def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
+def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, most: int = BLOCK_WORDS) -> DataFrame:
     """docs with hit words cut out of text; documents covered to so many percent or more are left out."""
-    todo = blocks(items, BLOCK_WORDS)
-    found = with_hits(docs, items, window) if len(todo) > 1 else docs
-    key = hashlib.sha256(repr((window, todo[0])).encode()).hexdigest()
-    block = todo[0]
-    schema = T.StructType([*docs.schema.fields, T.StructField("kinfold_keep", T.BooleanType())])
+    own = Items(items, window, most)
+    names = [fresh(docs, f"kinfold_own_{k}") for k in range(len(docs.columns))]
+    if own.n > 1:
+        # The table's own columns step aside, whatever their names, but for those that are needed here.
+        aside = {c: n for c, n in zip(docs.columns, names, strict=True) if c not in ("text", "n_chars")}
+        found, block, key = with_hits(docs.withColumnsRenamed(aside), own), None, ""
+    else:
+        aside, found, block, key = {}, docs, own.block(0), uuid.uuid4().hex
+    keep = fresh(docs, "kinfold_keep")
+    schema = T.StructType([*(T.StructField(aside.get(x.name, x.name), x.dataType) for x in docs.schema), T.StructField(keep, T.BooleanType())])
 
     def f(part, texts: list[bytes]) -> dict:
-        new, keep = [], []
-        has = part.column(part.schema.get_field_index("kinfold_spans")).to_pylist() if "kinfold_spans" in part.schema.names else None
-        for i, text in enumerate(texts):
-            if has is None:
-                words = words_of(text)
-                spans, n = automaton(block, window, key).hits(words)[0], len(words)
-            else:
-                s = has[i]
-                spans, n = list(zip(s[::2], s[1::2], strict=True)), part.column(part.schema.get_field_index("kinfold_words"))[i].as_py()
+        new, kept = [], []
+        column = lambda c: part.column(part.schema.get_field_index(c))
+        if block is None:
+            hits = [(list(zip(s[::2], s[1::2], strict=True)), n) for s, n in zip(column("kinfold_spans").to_pylist(), column("kinfold_words").to_pylist(), strict=True)]
+        else:
+            words = map(words_of, texts)
+            hits = [(automaton(block, window, key).hits(w)[0], len(w)) for w in words]
+        for text, (spans, n) in zip(texts, hits, strict=True):
             hit = sum(b - a for a, b in spans)
-            keep.append(not hit or 100 * hit < coverage * n)
+            kept.append(not hit or 100 * hit < coverage * n)
             new.append(without(text, spans) if hit else text)
-        old = part.column(part.schema.get_field_index("text"))
-        fresh = pa.array(new, pa.binary()).cast(pa.string())
-        out = {"text": pc.if_else(old.is_null(), pa.scalar(None, pa.string()), fresh), "kinfold_keep": keep}
+        old = column("text")
+        fresh_ = pa.array(new, pa.binary()).cast(pa.string())
+        out = {"text": pc.if_else(old.is_null(), pa.scalar(None, pa.string()), fresh_), keep: kept}
         if "n_chars" in part.schema.names:
-            field = part.schema.field("n_chars").type
-            now = pc.utf8_length(fresh).cast(field)
-            out["n_chars"] = pc.if_else(pc.equal(pc.fill_null(old, ""), fresh), part.column(part.schema.get_field_index("n_chars")), now)
+            now = pc.utf8_length(fresh_).cast(part.schema.field("n_chars").type)
+            out["n_chars"] = pc.if_else(pc.equal(pc.fill_null(old, ""), fresh_), column("n_chars"), now)
         return out
 
-    return map_texts(found, f, schema, as_bytes=True).where("kinfold_keep").drop("kinfold_keep")
+    return map_texts(found, f, schema, as_bytes=True).where(keep).drop(keep).withColumnsRenamed({n: c for c, n in aside.items()})
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
