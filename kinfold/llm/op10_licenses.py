@@ -4,18 +4,21 @@ Texts and license templates are taken as sequences of five-word shingles. Window
 text, those of more than four by a quarter of their size. A window is looked up by bands of its MinHash signature among the
 windows, of the same size, of all templates; ROWS minima to a band and BANDS bands give a window of similarity 0.8 to a
 template's window a chance of 1 - (1 - 0.8 ** ROWS) ** BANDS, over 0.9999999, to be retrieved. What is retrieved is then
-verified: of the template's distinct shingles, compared word by word, CONTAINED percent must lie around the window.
+verified: of the template's distinct shingles, compared word by word, CONTAINED percent must lie around the window. Every
+occurrence counts: one ends where a shingle of the template comes once more than the template has it.
 
 The signatures of a slice of texts are made together, in numpy: minima over a window of twice the size are minima of two
 windows. Templates are few and part of this module (or a parameter); their tables go to every task.
 
 Defined cases: null and empty texts and texts under five words match nothing; very long texts are scanned whole, in
-stretches that overlap; repeated rows give repeated results; an empty table gives an empty result; other columns are
-ignored.
+stretches that overlap; what lies within another match is left out, of equal spans that with fewer of its template's
+shingles, then that of the later template; repeated rows give repeated results; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter, deque
 from functools import lru_cache
 
 import numpy as np
@@ -95,7 +98,7 @@ class Index:
     def __init__(self, templates: list[tuple[str, str]]):
         self.names = [name for name, _ in templates]
         self.words = [words_of(text.encode()) for _, text in templates]
-        self.shingles = [{tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)} for w in self.words]
+        self.shingles = [Counter(tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)) for w in self.words]
         self.maps: dict[int, np.ndarray] = {}
         self.keys: dict[int, list[dict[int, set[int]]]] = {}
         for t, words in enumerate(self.words):
@@ -140,22 +143,43 @@ class Index:
             n = len(self.words[t])
             a, b = max(0, p - n), min(len(words), p + w + SHINGLE - 1 + n)
             own = regions.setdefault(t, [])
-            if own and a <= own[-1][1] and b - own[-1][0] <= 4 * n + 2 * LARGEST:
+            if own and a <= own[-1][1]:
                 own[-1][1] = max(b, own[-1][1])
             else:
                 own.append([a, b])
-        out = []
-        for t, own in regions.items():
-            for a, b in own:
-                hits: dict[tuple, int] = {}
-                last = a
-                for i in range(a, b - SHINGLE + 1):
-                    g = tuple(words[i : i + SHINGLE])
-                    if g in self.shingles[t]:
-                        hits.setdefault(g, i)
-                        last = i + SHINGLE
-                if 100 * len(hits) >= CONTAINED * len(self.shingles[t]):
-                    out.append((t, min(hits.values()), last, 1000 * len(hits) // len(self.shingles[t])))
+        return [x for t, own in regions.items() for a, b in own for x in self.occurrences(t, words, a, b)]
+
+    def occurrences(self, t: int, words: list[bytes], a: int, b: int) -> list[tuple[int, int, int, int]]:
+        """Matches of a template in words a to b, apart and in order.
+
+        Hits are taken in one after the other. While they are too few for a match, those that come again, or lie more than
+        three lengths of the template back, are dropped at the front; a match goes on until a hit comes once too often.
+        """
+        own, out = self.shingles[t], []
+        need, reach = -(-CONTAINED * len(own) // 100), 3 * len(self.words[t]) + 2 * LARGEST
+        held: deque[tuple[int, tuple]] = deque()
+        seen: Counter = Counter()
+
+        def close() -> None:
+            if len(seen) >= need:
+                out.append((t, held[0][0], held[-1][0] + SHINGLE, 1000 * len(seen) // len(own)))
+
+        for i in range(a, b - SHINGLE + 1):
+            g = tuple(words[i : i + SHINGLE])
+            if g not in own:
+                continue
+            if len(seen) >= need and (seen[g] == own[g] or i - held[-1][0] > reach):
+                close()
+                held.clear()
+                seen = Counter()
+            held.append((i, g))
+            seen[g] += 1
+            while len(seen) < need and (seen[held[0][1]] > own[held[0][1]] or i - held[0][0] > reach):
+                first = held.popleft()[1]
+                seen[first] -= 1
+                if not seen[first]:
+                    del seen[first]
+        close()
         return out
 
 
@@ -199,7 +223,12 @@ def matches(texts: list[bytes], index: Index) -> list[list[tuple[str, int, int,
     out = []
     for ws, f in zip(words, found, strict=True):
         got = index.verified(ws, sorted(f)) if f else []
-        best = [x for x in got if not any(y is not x and (y[1] <= x[1] and x[2] <= y[2]) and (y[2] - y[1], y[3], -y[0]) > (x[2] - x[1], x[3], -x[0]) for y in got)]
+        best, edge = [], -1
+        # Those that begin earlier, or reach further, come first; what ends no later than one of them lies within it.
+        for x in sorted(got, key=lambda x: (x[1], -x[2], -x[3], x[0])):
+            if x[2] > edge:
+                best.append(x)
+                edge = x[2]
         out.append(sorted((index.names[t], a, b, c) for t, a, b, c in best))
     return out
 

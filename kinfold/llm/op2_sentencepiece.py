@@ -30,6 +30,44 @@ from .common import keeps, map_texts, table
 SPACE = "▁"
 
 
+def fields(raw: bytes) -> dict[int, list]:
+    """The fields of a protocol buffer message by number: numbers, or bytes of what has a length."""
+    out: dict[int, list] = {}
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        n = shift = 0
+        while True:
+            b = raw[at]
+            at += 1
+            n |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return n
+
+    while at < len(raw):
+        key = number()
+        if key & 7 == 0:
+            value = number()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or number()
+            value, at = raw[at : at + size], at + size
+        out.setdefault(key >> 3, []).append(value)
+    return out
+
+
+def check_model(model_file: str) -> None:
+    """ValueError unless it is a merge-type model that takes texts as they are, with a space in front."""
+    with open(model_file, "rb") as f:
+        model = fields(f.read())
+    trainer, normalizer = fields(model.get(2, [b""])[0]), fields(model.get(3, [b""])[0])
+    if trainer.get(3, [1])[-1] != 2:
+        raise ValueError(f"{model_file} is no merge-type (BPE) model")
+    if normalizer.get(2, [b""])[-1] or normalizer.get(4, [1])[-1] or not normalizer.get(3, [1])[-1] or not normalizer.get(5, [1])[-1] or trainer.get(24, [0])[-1]:
+        raise ValueError(f"{model_file} changes texts before it encodes them, which this encoder does not")
+
+
 class Codec:
     """Encoder and decoder of one model file.
 
@@ -40,6 +78,7 @@ class Codec:
         import ahocorasick
         import sentencepiece
 
+        check_model(model_file)
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.most, self.longest = most, longest
         self.pieces = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
@@ -285,7 +324,9 @@ DIGEST = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T
 
 
 def encode(docs: DataFrame, model_file: str, with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of keep, n_tokens, digests of the ids and of the decoded text, and ids if asked for."""
+    """doc_id, the columns of keep (but for those named as a result), n_tokens, digests of the ids and of the decoded text, and
+    ids if asked for."""
+    keep = tuple(k for k in keep if k not in ("doc_id", "ids", *(x.name for x in DIGEST)))
     fields = {x.name: x for x in docs.schema}
     schema = T.StructType([fields["doc_id"], *(fields[k] for k in keep), *DIGEST, *[T.StructField("ids", T.ArrayType(T.IntegerType()))][: int(with_ids)]])
 

@@ -9,7 +9,8 @@ The hash is the first 60 bits of md5 over doc_id as text.
 
 Defined cases: null and empty texts have no bytes and still belong to a shard; a null doc_id hashes as an empty text;
 rows with one doc_id share a shard; a shard of BITS bits that is over the limit (one long text, or many rows of one
-doc_id) stays as it is; an empty table gives an empty result; other columns are ignored.
+doc_id) stays as it is; an empty table gives an empty result; other columns are ignored by assign() and written by
+write_shards(), whose own column shard takes the place of one of that name.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, discard, table
 
+#: Bits of the hash, bytes of a shard at most, and bits by which a cell grows where it is over that.
 BITS, MAX_BYTES, STEP = 60, 16 << 20, 10
+#: Bytes of a shard at most in the registered query: shards small enough to split at every scale factor.
+QUERY_BYTES = 256 << 10
 #: Rows of the directory's cells up to which these are sent to all tasks; beyond, the join shuffles.
 SMALL = 1 << 17
 
@@ -69,19 +73,20 @@ def assign(docs: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, max_bytes: int = MAX_BYTES) -> None:
     """All columns of docs as Parquet, a folder for each shard, in ascending doc_id order within it."""
+    docs = docs.drop("shard")
     shards = assign(docs, max_bytes).select("doc_id", "shard").distinct().withColumnRenamed("doc_id", "kinfold_id")
     with_shard = docs.join(shards, F.col("doc_id").eqNullSafe(F.col("kinfold_id"))).drop("kinfold_id")
     with_shard.repartition("shard").sortWithinPartitions("shard", "doc_id").write.partitionBy("shard").parquet(path)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign(table(spark, sf_dir, "documents"))
+    return assign(table(spark, sf_dir, "documents"), QUERY_BYTES)
 
 
 OP6_SQL = f"""
 WITH k AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key, coalesce(strlen(text), 0)::BIGINT AS bytes FROM documents),
 s AS (SELECT d, key >> ({BITS} - d) AS shard, sum(bytes)::BIGINT AS shard_bytes FROM k, range({BITS + 1}) AS t(d) GROUP BY ALL),
-f AS (SELECT * FROM s WHERE shard_bytes <= {MAX_BYTES} OR d = {BITS}),
+f AS (SELECT * FROM s WHERE shard_bytes <= {QUERY_BYTES} OR d = {BITS}),
 b AS (SELECT doc_id, bytes, min(d) AS depth, arg_min(shard, d) AS shard, arg_min(shard_bytes, d) AS shard_bytes, key FROM k JOIN f ON f.shard = k.key >> ({BITS} - f.d) GROUP BY doc_id, bytes, key)
 SELECT doc_id, bytes, depth::INTEGER AS depth, CASE WHEN depth = 0 THEN '' ELSE lpad(ltrim(bin(shard), '0'), depth::INTEGER, '0') END AS shard, shard_bytes FROM b
 """

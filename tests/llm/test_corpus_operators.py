@@ -14,7 +14,7 @@ import corpus_pipeline
 from kinfold.llm import common, op2_sentencepiece, op3_toxicity, op4_jaccard, op5_pii, op6_sharding, op7_tokens
 from kinfold.llm.graph import components
 
-from .conftest import ODD, SCHEMA, prose
+from .conftest import ODD, prose
 
 
 def by_id(df):
@@ -130,17 +130,26 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
-def test_components_go_on_until_nothing_changes(spark, monkeypatch):
+@pytest.mark.parametrize("plain", [1 << 18, 0])
+def test_components_of_a_long_path_and_of_a_hub(spark, monkeypatch, plain):
     from kinfold.llm import graph
 
-    edges = spark.createDataFrame([(2, 1)], "u long, v long")
-    edges.kinfold_path = ""
-    states = iter([*((1, i) for i in range(100)), (1, 99)])
-    monkeypatch.setattr(graph, "cut", lambda df, what: edges)
-    monkeypatch.setattr(graph, "discard", lambda *_: None)
-    monkeypatch.setattr(graph, "_state", lambda e: next(states))
-    graph.components(edges)
-    assert next(states, None) is None
+    monkeypatch.setattr(graph, "PLAIN", plain)
+    rnd = random.Random(20)
+    path = list(range(5000))
+    rnd.shuffle(path)
+    edges = [*zip(path, path[1:], strict=False), *((9000, i) for i in range(9001, 11_000)), (20_001, 20_000)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert all(got.get(i, i) == 0 for i in path) and all(got.get(i, i) == 9000 for i in range(9000, 11_000)) and got[20_001] == 20_000
+
+
+def test_hot_keys_are_joined_apart(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(500)] + [(k, 0) for k in range(2, 300)] + [(None, 5)], "k long, x long")
+    keyed = spark.createDataFrame([(1, "hot", 500), *((k, str(k), 1) for k in range(2, 200))], f"k long, name string, {common.TIMES} long")
+    got = common.skewed(rows, keyed, ["k"], 800, "left", share=10)
+    want = rows.join(keyed.drop(common.TIMES), ["k"], "left")
+    assert sorted(map(str, got.select("k", "x", "name").collect())) == sorted(map(str, want.select("k", "x", "name").collect()))
+    assert common.skewed(rows, keyed, ["k"], 800).count() == 698
 
 
 # -- sharding
@@ -165,7 +174,7 @@ def test_sharding_matches_brute_force(docs, limit):
 
 def test_sharding_of_an_empty_table_and_files(docs, tmp_path, spark):
     assert op6_sharding.assign(docs([])).collect() == []
-    table = docs([prose(random.Random(i), 40) for i in range(50)])
+    table = docs([prose(random.Random(i), 40) for i in range(50)]).withColumn("shard", F.lit("own"))
     op6_sharding.write_shards(table, str(tmp_path / "out"), 2000)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 50 and back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b")).where("b > 2000").count() == 0
@@ -194,6 +203,37 @@ def test_token_files_round_trip(docs, spark, tmp_path):
         first += len(ids)
 
 
+def test_token_files_are_equal_in_bytes_with_skewed_lengths_and_repeated_ids(docs, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(op7_tokens, "FILES", 2)
+    rnd = random.Random(24)
+    rows = [(i, prose(rnd, 400 if i < 60 else 4), "en", "s", 0) for i in range(600)] + [(77, prose(rnd, 30), "en", "s", 0) for _ in range(300)] + [(78, "same", "en", "s", 0)] * 9
+    files = op7_tokens.write(docs(rows), op7_tokens.tokenizer_path(), str(tmp_path), file_bytes=8000)
+    size = sum(len(t) + 16 for _, t, *_ in rows)
+    assert size / 8000 <= len(files) < 1.5 * size / 8000 + 2
+    texts = {k: sum(1 for _ in range(len(op7_tokens.Reader(path)))) for k, (_, path, _, _) in enumerate(files)}
+    assert sum(texts.values()) == len(rows)
+    # Bytes of text in a file, by the documents that it holds; several files hold parts of id 77.
+    ids = [set(op7_tokens.Reader(path).ids.tolist()) for _, path, _, _ in files]
+    assert sum(77 in x for x in ids) > 1
+    by = {i: len(t) + 16 for i, t, *_ in rows if i not in (77, 78)}
+    assert all(sum(by.get(i, 0) for i in x) < 2 * 8000 for x in ids)
+    got = op7_tokens.read(spark, files).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted(i for i, *_ in rows)
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_texts_go_whole_through_a_tokenizer_of_another_kind(docs, spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert op7_tokens.Encoder(op7_tokens.tokenizer_path()).by_word and not op7_tokens.Encoder(path).by_word
+    texts = ["Mixed CASE text", None, "  two  spaces\n", "é日🤖"]
+    want = [[*Tokenizer.from_file(path).encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
+    got = op7_tokens.read(spark, op7_tokens.write(docs(texts), path, str(tmp_path))).orderBy("doc_id").collect()
+    assert [r["ids_crc32"] for r in got] == [zlib.crc32(np.array(ids, "<u4").tobytes()) for ids in want]
+
+
 def test_a_reader_decompresses_only_what_is_asked_for(docs, tmp_path):
     import io
 
@@ -305,7 +345,3 @@ def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         common.shared_dir(Cluster)
-
-
-def test_empty_schema_names():
-    assert SCHEMA.startswith("doc_id")
