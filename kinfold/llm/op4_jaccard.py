@@ -16,8 +16,9 @@ entry, members are first compared with one of them (the smallest), each document
 links found make components, and rounds of this go on while they find many. Only for entries that still hold
 several components, pairs across components are compared, after a filter that bounds their overlap by counts over slices
 of the hash space. No link between different sets is lost: every pair that meets is linked, in one component, or compared.
-Entries whose documents are all in one component stay so and are left out of later rounds. Classes and entries with a
-large share of all rows are joined by broadcast, so that no task gets all rows of one.
+Entries whose documents are all in one component stay so and are left out of later rounds. Classes, entries and documents
+with a large share of all rows (known from a sample: which way a row is joined decides nothing else) are joined by
+broadcast, so that no task gets all rows of one.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; a text with fewer words than a shingle
 has the whole sequence as its only one; rows with the same doc_id count as one document and are linked; rows without a
@@ -46,6 +47,9 @@ TOGETHER = 1_000
 #: one in FEW of the links so far is the last.
 ROUNDS, FEW = 6, 50
 
+#: An entry, or a document, is hot with more than one in so many rows; shingles of a set that may go to all tasks.
+HOT_ENTRIES, HOT_SETS, HOT_SIZE = 1000, 100, 1 << 16
+
 EDGES = np.arange(SLICES, dtype=np.uint64) << np.uint64(57)
 _hashes = WordHashes()
 keeps(__name__, _hashes.place.clear)
@@ -159,8 +163,25 @@ def index(docs: DataFrame, frequent: np.ndarray, shingle: int, percent: int) ->
     return map_columns(docs.select("doc_id", F.col("text").cast("binary").alias("text")), run, "sig long, doc long")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, h): the sets of the documents with these ids."""
+def hot_values(rows: DataFrame, column: str, share: int) -> list[int]:
+    """Values that more than about one in share of the rows have, by a sample of some 1,000 rows for each."""
+    n = rows.count()
+    sample = rows.sample(min(1.0, 1000 * share / n), seed=1) if n > 1000 * share else rows
+    got = sample.groupBy(column).agg(F.count("*").alias("times")).where(F.col("times") * share > min(n, 1000 * share)).where("times > 100")
+    return sorted(r[0] for r in got.orderBy(F.desc("times"), column).limit(2 * share).collect())
+
+
+def joined_apart(rows: DataFrame, table_: DataFrame, on: str, hot: list[int]) -> DataFrame:
+    """rows joined with a table of unique keys; what it has of the hot ones goes to all tasks. Both are read twice if there are any."""
+    if not hot:
+        return rows.join(table_, on)
+    here = F.col(on).isin(hot)
+    return rows.where(~here).join(table_, on).unionByName(rows.where(here).join(F.broadcast(table_.where(here)), on))
+
+
+def linked(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sets reach the threshold, compared in full. pairs is read more than once."""
+    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
 
     def f(_, texts: list[bytes]) -> dict:
         got = [shingle_set(x, shingle) for x in texts]
@@ -170,16 +191,18 @@ def sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("h", T.ArrayType(T.LongType()))])
-    return map_texts(with_ids(docs.select("doc_id", "text"), ids, "left_semi"), f, schema, as_bytes=True)
+    sets = cut(map_texts(with_ids(docs.select("doc_id", "text"), ids, "left_semi"), f, schema, as_bytes=True), "sets")
 
+    def hot(side: str) -> list[int]:
+        """Hot documents; only sets of a bounded size may go to all tasks."""
+        found = hot_values(pairs, side, HOT_SETS)
+        return [r[0] for r in sets.where(F.col("doc_id").isin(found)).where(F.size("h") <= HOT_SIZE).select("doc_id").distinct().collect()] if found else []
 
-def linked(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets reach the threshold, compared in full. pairs is read more than once."""
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    sets = with_ids(sets, ids, "left_semi")
     a, b = sets.select(F.col("doc_id").alias("u"), F.col("h").alias("a")), sets.select(F.col("doc_id").alias("v"), F.col("h").alias("b"))
-    both = pairs.join(a, "u").join(b, "v").withColumn("o", F.size(F.array_intersect("a", "b")))
-    return cut(both.where(100 * F.col("o") >= percent * (F.size("a") + F.size("b") - F.col("o"))).select("u", "v").distinct(), "links")
+    both = joined_apart(joined_apart(pairs, a, "u", hot("u")), b, "v", hot("v")).withColumn("o", F.size(F.array_intersect("a", "b")))
+    out = cut(both.where(100 * F.col("o") >= percent * (F.size("a") + F.size("b") - F.col("o"))).select("u", "v").distinct(), "links")
+    discard(docs.sparkSession, sets)
+    return out
 
 
 def reachable(nu: np.ndarray, nv: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -279,11 +302,19 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
 
     copies = per_id.where("is_rep = 0").select("doc_id")
     entries = cut(index(with_ids(docs.where("doc_id is not null"), copies, "left_anti"), frequent, shingle, percent), "index")
-    shared = cut(entries.groupBy("sig").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias(TIMES)).where("low <> high").select("sig", TIMES), "shared")
-    met = cut(skewed(entries, shared, ["sig"], shared.agg(F.sum(TIMES)).first()[0] or 0), "met")
+    # An entry's share of all entries can only grow as others settle; those that are hot now are treated so throughout.
+    hot = hot_values(entries, "sig", HOT_ENTRIES)
+
+    def within(rows: DataFrame, ends) -> DataFrame:
+        """rows (sig, ...) joined with what ends(rows) has for their entries."""
+        if not hot:
+            return rows.join(ends(rows), "sig")
+        here, rest = rows.where(F.col("sig").isin(hot)), rows.where(~F.col("sig").isin(hot))
+        return rest.join(ends(rest), "sig").unionByName(here.join(F.broadcast(ends(here)), "sig"))
+
+    met = cut(within(entries, lambda x: x.groupBy("sig").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("sig")), "met")
     edges = cut(same_id, "links")
-    discard(spark, both, classes, several, entries, shared)
-    sets = cut(sets_of(docs, met.select(F.col("doc").alias("doc_id")).distinct(), shingle), "sets")
+    discard(spark, both, classes, several, entries)
 
     label = components(edges)
     tried: list[DataFrame] = []
@@ -291,7 +322,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
 
     def compare(pairs: DataFrame) -> int:
         nonlocal edges, label
-        found = linked(sets, pairs, percent)
+        found = linked(docs, pairs, shingle, percent)
         n = found.count()
         if n:
             old = edges, label
@@ -304,10 +335,9 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
     def unsettled(met: DataFrame) -> DataFrame:
         """(sig, doc, label, low, high) of the entries that still hold several components: low and high are (label, doc)."""
         now = met.select("sig", "doc").join(label.select(F.col("node").alias("doc"), F.col("root").alias("label")), "doc", "left").select("sig", "doc", F.coalesce("label", "doc").alias("label"))
-        ends = now.groupBy("sig").agg(F.min(F.struct("label", "doc")).alias("low"), F.max(F.struct("label", "doc")).alias("high"), F.count("*").alias(TIMES)).where("low.label <> high.label")
-        ends = cut(ends, "ends")
-        out = cut(skewed(now, ends, ["sig"], ends.agg(F.sum(TIMES)).first()[0] or 0), "met")
-        discard(spark, met, ends)
+        ends = lambda x: x.groupBy("sig").agg(F.min(F.struct("label", "doc")).alias("low"), F.max(F.struct("label", "doc")).alias("high")).where("low.label <> high.label")
+        out = cut(within(now, ends), "met")
+        discard(spark, met)
         return out
 
     for step in range(ROUNDS):
@@ -326,7 +356,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
     info = met.select("sig", "doc", "label").join(reps.select(F.col("rep").alias("doc"), "n", "sketch"), "doc")
     last = cut(close_pairs(info, percent), "pairs")
     compare(last)
-    discard(spark, met, last, reps, sets, edges, *tried)
+    discard(spark, met, last, reps, edges, *tried)
     out = members.join(label.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
 
@@ -346,3 +376,16 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     else:
         out = with_ids(kept, twice, "left_anti").unionByName(with_ids(kept, twice, "left_semi").dropDuplicates(["doc_id"]))
     return out.unionByName(docs.where("doc_id is null"))
+
+
+OP4_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {SHINGLE} + 2), lambda i: array_to_string(list_slice(w, i, i + {SHINGLE} - 1), ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS o FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * o >= {PERCENT} * (x.n + y.n - o)),
+two AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+reach AS (SELECT DISTINCT u AS a, u AS b FROM two UNION SELECT a, v FROM reach JOIN two ON u = b),
+c AS (SELECT a, min(b) AS root FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON a = doc_id
+"""

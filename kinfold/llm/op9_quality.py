@@ -71,11 +71,11 @@ def repeated(keys: np.ndarray, n: int, words: int) -> np.ndarray:
 
 
 def recurring_signs(text: bytes) -> int:
-    """Signs whose run of three bytes, the sign in the middle, occurs twice or more; white space counts as one blank."""
-    b = np.frombuffer(b" " + text.translate(BLANK) + b" ", dtype=np.uint8)
-    at = np.flatnonzero(SIGN[b])
-    wide = b.astype(np.uint32)
-    _, times = np.unique(wide[at - 1] << 16 | wide[at] << 8 | wide[at + 1], return_counts=True)
+    """Signs whose run of three characters, the sign in the middle, occurs twice or more; any white space counts as a blank."""
+    c = np.frombuffer(f" {text.translate(BLANK).decode('utf-8', 'replace')} ".encode("utf-32-le"), dtype=np.uint32)
+    at = np.flatnonzero(SIGN[np.minimum(c, 255)])
+    c = c.astype(np.uint64)
+    _, times = np.unique(c[at - 1] << np.uint64(42) | c[at] << np.uint64(21) | c[at + 1], return_counts=True)
     return int(times[times > 1].sum())
 
 
@@ -167,3 +167,28 @@ def fitted(docs: DataFrame, labels: DataFrame, spared: float = 0.999) -> dict[st
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return judge(docs, fitted(docs, table(spark, sf_dir, "labels")))
+
+
+_W = r"[\x20\x09-\x0D]"
+#: The rows of crc32 over a text of digits, a bit at a time.
+_CRC = "xor(list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END, 4294967295::BIGINT), 4294967295)"
+OP9_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '{_W}+'), lambda x: x <> '') AS w FROM documents),
+c AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
+l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d),
+l1 AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS r FROM l0 WHERE regexp_matches(line, '[^ 	-]')),
+l AS (SELECT doc_id, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '{_W}', '', 'g'))) AS line_chars FROM l1 WHERE r > 1 GROUP BY 1),
+g AS (SELECT doc_id, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g FROM d, unnest([3, 5, 7, 10]) AS t(k), unnest(range(1, len(w) - k + 2)) AS u(i) WHERE len(w) >= k),
+h AS (SELECT doc_id, k, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, k, g) > 1),
+p AS (SELECT DISTINCT doc_id, k, p FROM h, unnest(range(i, i + k)) AS t(p)),
+r AS (SELECT doc_id, count(*) FILTER (k = 3) AS n3, {", ".join(f"coalesce(sum(length(w[p])) FILTER (k = {k}), 0) AS c{k}" for k in LIMITS)} FROM p JOIN d USING (doc_id) GROUP BY 1),
+s0 AS (SELECT doc_id, string_split(' ' || regexp_replace(text, '{_W}', ' ', 'g') || ' ', '') AS x FROM d),
+s1 AS (SELECT doc_id, x[i - 1] || x[i] || x[i + 1] AS g, count(*) AS n FROM s0, unnest(range(2, len(x))) AS t(i) WHERE regexp_matches(x[i], '[#*$%&|<>]') GROUP BY ALL),
+s AS (SELECT doc_id, sum(n) AS signs FROM s1 WHERE n > 1 GROUP BY 1),
+m AS (SELECT c.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n3, 0) AS n_repeat_words, {", ".join(f"coalesce(1000 * c{k} // word_chars, 0)::BIGINT AS dup{k}_permille" for k in LIMITS)},
+coalesce(1000 * line_chars // word_chars, 0)::BIGINT AS dup_line_permille, coalesce(1000 * signs // word_chars, 0)::BIGINT AS sign_permille, n_words < {LEAST_WORDS} OR 100 * coalesce(n3, 0) > {MOST_REPEATED} * n_words AS base_failed
+FROM c LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN s USING (doc_id)),
+good AS (SELECT m.* FROM m WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND {_CRC} % 5 <> 0)),
+lim AS (SELECT {", ".join(f"greatest({most}, coalesce(list_sort(list({k}))[ceil(0.999::DOUBLE * count(*))::BIGINT], 0)) AS {k}" for k, most in DEFAULT.items())} FROM good)
+SELECT m.*, NOT base_failed AND {" AND ".join(f"m.{k} <= lim.{k}" for k in MEASURES)} AS kept FROM m, lim
+"""

@@ -10,12 +10,12 @@ from .op10_licenses import op10_licenses
 from .op1_secrets import op1_secrets
 from .op2_sentencepiece import op2_sentencepiece
 from .op3_toxicity import op3_toxicity
-from .op4_jaccard import op4_jaccard
+from .op4_jaccard import OP4_SQL, op4_jaccard
 from .op5_pii import op5_pii
 from .op6_sharding import OP6_SQL, op6_sharding
 from .op7_tokens import op7_tokens
 from .op8_decontaminate import OP8_SQL, op8_decontaminate
-from .op9_quality import op9_quality
+from .op9_quality import OP9_SQL, op9_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_sharding": OP6_SQL, "op8_decontaminate": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_jaccard": OP4_SQL, "op6_sharding": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_quality": OP9_SQL}

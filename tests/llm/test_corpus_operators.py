@@ -75,6 +75,9 @@ def test_jaccard_join_matches_brute_force(docs, copies, monkeypatch, frequent, t
     monkeypatch.setattr(op4_jaccard, "TOGETHER", together)
     monkeypatch.setattr(op4_jaccard, "ROUNDS", rounds)
     monkeypatch.setattr(op4_jaccard, "SMALL", 10 if rounds == 1 else 1 << 19)
+    if rounds < 6:
+        monkeypatch.setattr(op4_jaccard, "HOT_ENTRIES", 10**6)
+        monkeypatch.setattr(op4_jaccard, "HOT_SETS", 10**6)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op4_jaccard.join(docs(copies)).collect()}
     assert got == brute_components(list(enumerate(copies)))
 
@@ -144,6 +147,10 @@ def test_components_of_a_long_path_and_of_a_hub(spark, monkeypatch, plain):
 
 
 def test_hot_keys_are_joined_apart(spark):
+    ids = spark.range(300).selectExpr("CASE WHEN id < 150 THEN 7 ELSE id END AS u", "id AS x")
+    assert op4_jaccard.hot_values(ids, "u", 10) == [7] and op4_jaccard.hot_values(ids, "u", 1) == []
+    table_ = spark.range(300).selectExpr("id AS u", "id * 2 AS y")
+    assert sorted(map(tuple, op4_jaccard.joined_apart(ids, table_, "u", [7]).select("u", "x", "y").collect())) == sorted(map(tuple, ids.join(table_, "u").select("u", "x", "y").collect()))
     rows = spark.createDataFrame([(1, i) for i in range(500)] + [(k, 0) for k in range(2, 300)] + [(None, 5)], "k long, x long")
     keyed = spark.createDataFrame([(1, "hot", 500), *((k, str(k), 1) for k in range(2, 200))], f"k long, name string, {common.TIMES} long")
     got = common.skewed(rows, keyed, ["k"], 800, "left", share=10)

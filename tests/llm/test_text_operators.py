@@ -379,8 +379,8 @@ def brute_quality(text):
     dup = [1000 * sum(len(words[k]) for k in covered(n)) // chars if chars else 0 for n in op9_quality.LIMITS]
     lines = set()
     twice = sum(len(re.sub(r"[\x20\x09-\x0D]", "", x)) for x in text.split("\n") if x.strip(" \t\v\f\r\n") and (x in lines or lines.add(x)))
-    raw = b" " + re.sub(rb"[\x09-\x0D]", b" ", text.encode()) + b" "
-    around = Counter(raw[i - 1 : i + 2] for i in range(1, len(raw) - 1) if raw[i] in b"#*$%&|<>")
+    raw = " " + re.sub(r"[\x09-\x0D]", " ", text) + " "
+    around = Counter(raw[i - 1 : i + 2] for i in range(1, len(raw) - 1) if raw[i] in "#*$%&|<>")
     dup += [1000 * twice // chars if chars else 0, 1000 * sum(n for n in around.values() if n > 1) // chars if chars else 0]
     return len(words), chars, len(re.findall(r"[#*$%&|<>]", text)), again, len(covered(3)), dup
 
