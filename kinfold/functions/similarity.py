@@ -1,46 +1,87 @@
-"""String similarities on a scale of 0 to 100 (Jaro-Winkler: 0 to 1), and an Arrow function for several at once."""
+"""String similarities on a scale of 0 to 100 (Jaro-Winkler: 0 to 1), and an Arrow function for several at once.
+
+A Text keeps what several similarities need of one text, so it is made once: its words, their sorted form, and the bits of
+each character's places.
+"""
 
 from __future__ import annotations
 
-from collections import Counter, deque
+from collections import deque
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one row of bits for all of a at a time."""
-    if not a or not b:
-        return 0
-    where: dict[str, int] = {}
-    bit = 1
-    for c in a:
-        where[c] = where.get(c, 0) | bit
-        bit <<= 1
-    full = row = bit - 1
+class Text(str):
+    """A text with forms of it that are made when first asked for."""
+
+    @cached_property
+    def words(self) -> frozenset[str]:
+        return frozenset(self.split())
+
+    @cached_property
+    def by_word(self) -> Text:
+        """Its words in order."""
+        return Text(" ".join(sorted(self.split())))
+
+    @cached_property
+    def places(self) -> dict[str, int]:
+        """For each character a number whose bits are its places."""
+        out: dict[str, int] = {}
+        bit = 1
+        for c in self:
+            out[c] = out.get(c, 0) | bit
+            bit <<= 1
+        return out
+
+    @cached_property
+    def codes(self) -> np.ndarray:
+        return np.frombuffer(self.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def common(places: dict[str, int], n: int, b: str) -> int:
+    """Length of the longest common subsequence of a text of n characters and b, one row of bits at a time."""
+    full = row = (1 << n) - 1
     for c in b:
-        u = row & where.get(c, 0)
+        u = row & places.get(c, 0)
         row = ((row + u) | (row - u)) & full
-    return len(a) - row.bit_count()
+    return n - row.bit_count()
+
+
+def lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence. What both begin and end with is taken off if it is much."""
+    n, most = 0, min(len(a), len(b))
+    if a[: most // 4] == b[: most // 4]:
+        while n < most and a[n] == b[n]:
+            n += 1
+    k = 0
+    if n or a[len(a) - most // 4 :] == b[len(b) - most // 4 :]:
+        while k < most - n and a[-1 - k] == b[-1 - k]:
+            k += 1
+    if n + k:
+        a, b = a[n : len(a) - k], b[n : len(b) - k]
+    if not a or not b:
+        return n + k
+    return n + k + common((a if isinstance(a, Text) else Text(a)).places, len(a), b)
 
 
-@lru_cache(1 << 15)
 def ratio(a: str, b: str) -> float:
     """Indel similarity: twice the common subsequence over both lengths. Two empty texts are equal."""
     return 100.0 * 2 * lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
 def token_sort_ratio(a: str, b: str) -> float:
-    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    return ratio(as_text(a).by_word, as_text(b).by_word)
 
 
 def token_set_ratio(a: str, b: str) -> float:
     """The best of comparing the shared words, and the shared words with either side's rest. 0 if a side has no word."""
-    x, y = set(a.split()), set(b.split())
+    x, y = as_text(a).words, as_text(b).words
     if not x or not y:
         return 0.0
     both, only_a, only_b = sorted(x & y), sorted(x - y), sorted(y - x)
@@ -55,58 +96,64 @@ def token_set_ratio(a: str, b: str) -> float:
     return out
 
 
-#: Length of the shorter text up to which every stretch of the longer one is tried.
-ALL_STRETCHES = 64
+#: Length of the shorter text up to which every stretch is compared by itself; beyond, all are found by one combing.
+BY_ITSELF = 64
 
 
-@lru_cache(1 << 15)
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text with a stretch of the longer one, which may reach over its ends.
-
-    For longer texts, stretches begin where most runs of four characters of the two fall together.
-    """
+    """The best ratio of the shorter text with a stretch of the longer one of its length, which may reach over its ends."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
     if a in b:
         return 100.0
-    n, have, best = len(a), set(a), 0.0
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    full = (1 << n) - 1
-    if n > ALL_STRETCHES:
-        stretches = [(max(0, k), min(len(b), k + n)) for k in _shifts(a, b)]
-    elif n == len(b):
-        stretches = [(0, k) for k in range(1, n + 1)] + [(k, n) for k in range(1, n)]
-    else:
-        stretches = [(max(0, e - n), min(e, len(b))) for e in range(1, len(b) + n)]
-    for s, e in stretches:
+    a, b = as_text(a), as_text(b)
+    n, m, best = len(a), len(b), 0.0
+    if n > BY_ITSELF:
+        size, shared = stretches(a.codes, b.codes)
+        return float((200.0 * shared / (n + size)).max())
+    places = a.places
+    for end in range(1, m + n):
+        s, e = max(0, end - n), min(end, m)
         # A stretch matters only if it ends (or, at the end of the text, begins) with a character of the shorter one.
-        if n <= ALL_STRETCHES and b[e - 1 if e < len(b) or s == 0 else s] not in have:
-            continue
-        if 200.0 * min(n, e - s) / (n + e - s) <= best:
-            continue
-        row = full
-        for c in b[s:e]:
-            u = row & where.get(c, 0)
-            row = ((row + u) | (row - u)) & full
-        best = max(best, 200.0 * (n - row.bit_count()) / (n + e - s))
+        if b[e - 1 if e < m or s == 0 else s] in places and 200.0 * (e - s) / (n + e - s) > best:
+            best = max(best, 200.0 * common(places, n, b[s:e]) / (n + e - s))
     return best
 
 
-def _shifts(a: str, b: str, most: int = 6) -> list[int]:
-    """Places in b where a would begin if shared runs of four characters were to meet, the most frequent first."""
-    at: dict[str, list[int]] = {}
-    for i in range(len(a) - 3):
-        at.setdefault(a[i : i + 4], []).append(i)
-    votes: Counter = Counter()
-    for j in range(len(b) - 3):
-        for i in at.get(b[j : j + 4], ())[:8]:
-            votes[j - i] += 1
-    found = [k for k, _ in sorted(votes.items(), key=lambda x: (-x[1], x[0]))[:most]]
-    return [k for k in [*found, 0, len(b) - len(a)] if k < len(b) and k + len(a) > 0]
+def stretches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, longest common subsequences with a) of all stretches of b as long as a, or cut off at an end of b.
+
+    Strands enter a grid of a against b from the left and from above and leave it to the right and below. They are combed
+    cell by cell, all cells of a diagonal together: where characters are equal both strands turn, and so do strands that
+    have crossed before. A stretch of b shares as many characters with a as it has, less the strands that enter from above
+    it and leave below it.
+    """
+    n, m = len(a), len(b)
+    back = a[::-1].copy()
+    left, above = np.arange(n, dtype=np.int32), np.arange(n, n + m, dtype=np.int32)
+    for d in range(n + m - 1):
+        lo, hi = max(0, d - n + 1), min(m - 1, d) + 1
+        x, y = left[n - 1 - d + lo : n - 1 - d + hi], above[lo:hi]
+        low = np.minimum(x, y)
+        np.copyto(low, y, where=back[n - 1 - d + lo : n - 1 - d + hi] == b[lo:hi])
+        y += x
+        y -= low
+        x[:] = low
+    begin = above - n
+    leaves = np.full(m, m + 1)
+    inside = begin >= 0
+    leaves[begin[inside]] = np.flatnonzero(inside)
+    ends = np.arange(1, n + m)
+    s, e = np.maximum(0, ends - n), np.minimum(ends, m)
+    # A longer stretch gets the strands that leave below its new end and began within it; a shorter one loses those that
+    # began above its old start and leave within it.
+    more = np.where(ends <= m, begin[np.minimum(ends, m) - 1] >= s, False)
+    before = np.maximum(s - 1, 0)
+    less = np.where(s > 0, leaves[before] < np.where(ends <= m, e - 1, e), False)
+    through = np.cumsum(more.astype(np.int64) - less)
+    return e - s, (e - s) - through
 
 
 def jaro(a: str, b: str) -> float:
@@ -133,7 +180,6 @@ def jaro(a: str, b: str) -> float:
     return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
 
 
-@lru_cache(1 << 15)
 def jaro_winkler(a: str, b: str) -> float:
     j = jaro(a, b)
     if j <= 0.7:
@@ -146,11 +192,16 @@ def jaro_winkler(a: str, b: str) -> float:
     return j + n * 0.1 * (1 - j)
 
 
+def as_text(x: str) -> Text:
+    return x if isinstance(x, Text) else Text(x)
+
+
 SCORERS: dict[str, Callable[[str, str], float]] = {"ratio": ratio, "tset": token_set_ratio, "tsort": token_sort_ratio, "partial": partial_ratio, "jw": jaro_winkler}
 
 
 def scores(wanted: dict[str, tuple[str, Column, Column]]) -> Column:
-    """A struct of similarities {name: (scorer, a, b)}. All go through Python together, equal pairs of a batch once."""
+    """A struct of similarities {name: (scorer, a, b)}. All go through Python together; equal texts of a batch are one Text,
+    equal pairs are compared once."""
     names = list(wanted)
     kinds = [wanted[k][0] for k in names]
     given: dict[str, int] = {}
@@ -167,15 +218,16 @@ def scores(wanted: dict[str, tuple[str, Column, Column]]) -> Column:
 
     @F.arrow_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in names]))
     def run(*cols: pa.Array) -> pa.Array:
-        lists = [[x or "" for x in c.to_pylist()] for c in cols]
-        out = []
+        known: dict[str, Text] = {}
+        lists = [[known.get(x) or known.setdefault(x, Text(x)) for x in (y or "" for y in c.to_pylist())] for c in cols]
+        out, seen = [], {}
         for kind, (i, j) in zip(kinds, at, strict=True):
-            f, seen = SCORERS[kind], {}
-            got = []
-            for pair in zip(lists[i], lists[j], strict=True):
-                v = seen.get(pair)
+            f, got = SCORERS[kind], []
+            for a, b in zip(lists[i], lists[j], strict=True):
+                key = (kind, id(a), id(b))
+                v = seen.get(key)
                 if v is None:
-                    v = seen[pair] = f(*pair)
+                    v = seen[key] = f(a, b)
                 got.append(v)
             out.append(pa.array(got, pa.float64()))
         return pa.StructArray.from_arrays(out, names=names)

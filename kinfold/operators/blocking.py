@@ -1,8 +1,8 @@
 """Candidate generation: records that share a key become pairs, unless the key is too common.
 
 A key carries its country, so a pair never crosses countries. Document frequencies count candidates (sources 2 and 3);
-dropping keys over their cap before the join bounds what a key can multiply, on the candidates' side; capped keys keep
-the join free of skew from that side.
+dropping keys over their cap before the join bounds what a key can multiply, on the candidates' side; a key that very many
+records of source 1 have is dealt out to several tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as X
 from ..functions import vocabulary as V
+from ..plans.session import stored
 
 
 def _pairs_of(a: Column) -> Column:
@@ -85,16 +86,35 @@ def usable_signals(cand: DataFrame, records: DataFrame) -> DataFrame:
     return df.where(F.col("df") <= most).select("src", "country", "kt", "key", "df", (of(3) / F.sqrt("df")).alias("w"))
 
 
+#: Records of source 1 with one key that one task joins with the key's candidates.
+HEAVY = 1 << 16
+
+
+def paired(usable: DataFrame, all_keys: DataFrame) -> DataFrame:
+    """usable with first: how many records of source 1 have the key. Keys that none has fall away."""
+    on = ["country", "kt", "key"]
+    return usable.join(all_keys.where("src = 1").groupBy(*on).agg(F.count("*").alias("first")), on)
+
+
 def shared(all_keys: DataFrame, usable: DataFrame) -> DataFrame:
-    """(s1_id, cand_id, src, kt, key, w) for each usable key that a record of source 1 shares with a candidate."""
+    """(s1_id, cand_id, src, kt, key, w) for each usable key that a record of source 1 shares with a candidate.
+
+    usable has first. A key that very many records of source 1 have is dealt out: each of its candidates, bounded by the
+    cap, goes to every part.
+    """
     on = ["country", "kt", "key"]
+    own = ["src", *on] if "src" in usable.columns else on
     a = all_keys.where("src = 1").select(F.col("entity_id").alias("s1_id"), *on)
-    if "src" in usable.columns:
-        b = all_keys.where("src <> 1").join(usable, ["src", *on]).select(F.col("entity_id").alias("cand_id"), "src", *on, "w")
-        return a.join(b, on).select("s1_id", "cand_id", "src", "kt", "key", "w")
     b = all_keys.where("src <> 1").select(F.col("entity_id").alias("cand_id"), "src", *on)
-    # Keys that nobody in source 1 has fall away before the candidates are joined.
-    return a.join(usable, on).join(b, on).select("s1_id", "cand_id", "src", "kt", "key", "w")
+    columns = ["s1_id", "cand_id", "src", "kt", "key", "w"]
+    lean, heavy = usable.where(F.col("first") <= HEAVY), usable.where(F.col("first") > HEAVY)
+    out = (a.join(lean, on).join(b, own) if own == on else a.join(b.join(lean, own), on)).select(*columns)
+    if heavy.isEmpty():
+        return out
+    parts = heavy.withColumn("parts", F.ceil(F.col("first") / HEAVY).cast("int"))
+    a = a.join(parts.groupBy(*on).agg(F.max("parts").alias("parts")), on).withColumn("part", F.pmod(F.xxhash64("s1_id"), F.col("parts")).cast("int")).drop("parts")
+    b = b.join(parts.drop("df", "first"), own).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return out.unionByName(a.join(b, [*on, "part"]).select(*columns))
 
 
 def scored(pairs: DataFrame, kinds: tuple[str, ...] = V.KEY_TYPES) -> DataFrame:
@@ -110,21 +130,21 @@ def top(df: DataFrame, score: str, n: int, by: tuple[str, ...] = ("s1_id",), ran
 
 
 def block(records: DataFrame, depth: int = 120, scale: float = 1.0) -> DataFrame:
-    """Shortlist by summed weights of all key types, over records in normal form."""
-    k = keys(records)
-    return top(scored(shared(k, usable_keys(k.where("src <> 1"), records, caps(scale)))), "bscore", depth)
+    """Shortlist by summed weights of all key types, over records in normal form. Keys are made once and written."""
+    k = stored(keys(records))
+    return top(scored(shared(k, stored(paired(usable_keys(k.where("src <> 1"), records, caps(scale)), k)))), "bscore", depth)
 
 
 def block_plain(records: DataFrame, n: int = 25) -> DataFrame:
     """Shortlist of each source by rarity of shared signals, over records in the plainer form."""
-    k = signals(records)
-    return top(scored(shared(k, usable_signals(k.where("src <> 1"), records)), tuple(V.SIGNALS)), "bscore", n, ("s1_id", "src"))
+    k = stored(signals(records))
+    return top(scored(shared(k, stored(paired(usable_signals(k.where("src <> 1"), records), k))), tuple(V.SIGNALS)), "bscore", n, ("s1_id", "src"))
 
 
 def union_candidates(records: DataFrame) -> DataFrame:
     """(s1_id, cand_id, src): every candidate that shares any signal within the caps, unscored."""
-    k = signals(records)
-    return shared(k, usable_signals(k.where("src <> 1"), records)).select("s1_id", "cand_id", "src").distinct()
+    k = stored(signals(records))
+    return shared(k, stored(paired(usable_signals(k.where("src <> 1"), records), k))).select("s1_id", "cand_id", "src").distinct()
 
 
 RERANK = ("r_bs", "r_brank", "r_name", "r_addr", "r_addr_missing", "r_num_conflict", "r_num_match")

@@ -13,8 +13,8 @@ from ..functions.similarity import scores
 from ..functions.vocabulary import KEY_TYPES
 from ..operators import blocking, context, decode, features, learn, normalize
 from ..sources import records as S
-from .resolve import keep, resolve, train
-from .session import ship
+from .resolve import keep, resolve, resolve_plain, train, train_plain
+from .session import ship, spread
 from .sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,7 +31,7 @@ def query(f: Query) -> Query:
 
 
 def ent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.document_entities(spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"))
+    return S.document_entities(spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")))
 
 
 def rec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,23 @@ def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep(normalize.plain(ent(spark, sf_dir)))
 
 
+#: Letters and digits, and those that natively() writes in their place.
+LATIN, NATIVE = "kgcjtdnpbmyrlvsh0123456789", "कगचजटडनपबमयरलवसह०१२३४५६७८९"
+
+
+def natively(e: DataFrame) -> DataFrame:
+    """Records whose candidates are written in another script: consonants of names, consonants and digits of addresses."""
+    other = F.col("src") != 1
+    names = F.translate(F.lower("name"), LATIN[:16], NATIVE[:16])
+    return e.withColumns({"name": F.when(other, names).otherwise(F.col("name")), "addr": F.when(other, F.translate(F.lower("addr"), LATIN, NATIVE)).otherwise(F.col("addr"))})
+
+
+def native_dictionaries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(tokens, states) learned from natively written candidates; two links are enough for a state."""
+    e = ent(spark, sf_dir)
+    return learn.dictionaries(normalize.unromanised(natively(e)), S.document_truth(e), 2)
+
+
 def first(e: DataFrame) -> DataFrame:
     return e.where("src = 1").select(F.col("entity_id").alias("s1_id"))
 
@@ -67,6 +84,13 @@ def truth_links(spark, sf_dir):
     return S.document_truth(ent(spark, sf_dir))
 
 
+@query
+def truth_parsed(spark, sf_dir):
+    """The truth as a table of comma lists, with blanks, taken apart again."""
+    lists = S.id_lists(S.document_truth(ent(spark, sf_dir)), first(ent(spark, sf_dir)), S.TRUTH)
+    return S.truth_links(lists.withColumn(S.TRUTH[1], F.concat(F.lit(" "), F.regexp_replace(S.TRUTH[1], ",", ", ,"), F.lit(",,"))))
+
+
 @query
 def name_tokens(spark, sf_dir):
     t = X.name_tokens(F.col("name"))
@@ -261,23 +285,53 @@ def sink_candidates(spark, sf_dir):
 
 @query
 def token_dictionary(spark, sf_dir):
-    e = ent(spark, sf_dir)
-    a = e.select(F.col("entity_id").alias("s1_id"), X.words(X.cleaned(F.col("name")), " ").alias("lat"))
-    b = e.select(F.col("entity_id").alias("cand_id"), X.words(F.lower("name"), " ").alias("nat"))
-    return learn.token_dictionary(S.document_truth(e).join(a, "s1_id").join(b, "cand_id"), native="[à-ÿ]")
+    return native_dictionaries(spark, sf_dir)[0]
+
 
+@query
+def state_dictionary(spark, sf_dir):
+    return native_dictionaries(spark, sf_dir)[1]
 
-# -- without SQL: similarities, romanisation and models
+
+@query
+def native_names(spark, sf_dir):
+    """Names of natively written records, by the learned dictionary, else by rule."""
+    n = normalize.names(natively(ent(spark, sf_dir)), native_dictionaries(spark, sf_dir)[0])
+    return n.select("entity_id", "name_str", "core_str", "concat", "is_domain")
+
+
+@query
+def native_addresses(spark, sf_dir):
+    """Addresses of natively written records, by rule, with learned states."""
+    a = normalize.addresses(natively(ent(spark, sf_dir)), native_states=native_dictionaries(spark, sf_dir)[1])
+    return a.select("entity_id", "state", F.array_join("addr_tok", " ").alias("addr_tok"), F.array_join("addr_num", " ").alias("addr_num"), "addr_str", "addr_missing")
+
+
+@query
+def reranked_fixed(spark, sf_dir):
+    """The re-rank by fixed weights, those of the similarities 0, so that SQL has the same order."""
+    r = rec(spark, sf_dir)
+    weights = {"bias": -1.0, "r_bs": 2.0, "r_brank": -0.5, "r_addr_missing": 0.25, "r_num_conflict": -0.75, "r_num_match": 0.5}
+    out = blocking.rerank(blocking.rerank_features(blocking.block(r), r), weights)
+    return rounded(out.select("s1_id", "cand_id", "r_bs", "r_brank", "r_addr_missing", "r_num_conflict", "r_num_match", "rscore", "brank"), "r_bs", "r_brank")
+
+
+@query
+def expected_f_decode(spark, sf_dir):
+    return decode.by_expected_f(pairs(spark, sf_dir), "p")
 
 
 @query
 def romanised_tokens(spark, sf_dir):
     """Distinct tokens of all texts, moved into Devanagari letter by letter, with their script and romanisation."""
     t = ent(spark, sf_dir).select(F.explode(X.words(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " ")).alias("token")).distinct()
-    native = F.translate("token", "kgcjtdnpbmyrlvsh", "कगचजटडनपबमयरलवसह")
+    native = F.translate("token", LATIN[:16], NATIVE[:16])
     return t.withColumn("native", native).select("token", "native", romanised(F.col("native")).alias("latin"), script(F.col("native")).alias("script"))
 
 
+# -- without SQL: similarities and models
+
+
 @query
 def string_features(spark, sf_dir):
     return features.string_features(pairs(spark, sf_dir).select("s1_id", "cand_id"), rec(spark, sf_dir))
@@ -292,16 +346,17 @@ def reranked(spark, sf_dir):
 
 
 @query
-def expected_f_decode(spark, sf_dir):
-    return decode.by_expected_f(pairs(spark, sf_dir), "p")
+def resolved(spark, sf_dir):
+    """Training on the true links, then all records resolved: one list of matches for each record of source 1."""
+    e = ent(spark, sf_dir)
+    return S.id_lists(resolve(e, train(e, S.document_truth(e), native=False)), first(e), S.MATCHES)
 
 
 @query
-def resolved(spark, sf_dir):
-    """Training on the true links, then all records resolved: one list of matches for each record of source 1."""
+def resolved_plain(spark, sf_dir):
+    """The same by two stacked stages over the plainer features, with calibration, one owner and a threshold."""
     e = ent(spark, sf_dir)
-    model = train(e, S.document_truth(e), rounds=5, native=False)
-    return S.id_lists(resolve(e, model), first(e), S.MATCHES)
+    return S.id_lists(resolve_plain(e, train_plain(e, S.document_truth(e))), first(e), S.MATCHES)
 
 
 ORACLE_SQL = {("context_ranks" if k == "context" else k): v for k, v in SQL.items()}

@@ -45,6 +45,23 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(path))
 
 
+#: Bytes of a table that one task may have to read alone (a row group of a Parquet file), and bytes that are worth dealing out.
+GROUP, WORTH = 128 << 20, 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, its rows dealt out to all cores if its files are so few and small that most cores would have none."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    cores = spark.sparkContext.defaultParallelism
+    if not files or len(files) >= cores:
+        return df
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in map(path, files))
+    return df.repartition(cores) if size > WORTH and len(files) + size // GROUP < cores else df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written into the folder of spark.checkpoint.dir and read back: later steps neither repeat nor plan it again.
 

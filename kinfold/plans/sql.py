@@ -52,32 +52,64 @@ length(t) || ' ' || {joined("string_split(t, chr(10))[2:]")} || ', ' || ['texas'
 CASE lang WHEN 'en' THEN 'US' WHEN 'de' THEN 'India' ELSE coalesce(lang, '') END AS country, t AS text FROM (SELECT *, coalesce(text, '') AS t FROM documents))"""
 TRUTH = "truth AS (SELECT a.entity_id AS s1_id, b.entity_id AS cand_id FROM ent a JOIN ent b ON a.text = b.text WHERE a.src = 1 AND b.src <> 1)"
 
-_tokens = rr(clean("name"), (r"\(\s*id\s*:?\s*\d+\s*\)|\bid\s*:\s*\d+", " "), (r"\d{7,}", " "), (r"\bwww\.", " "), (V.DOMAIN_ENDS, " "), (r"[&+]", " and "), (r"['’`.]", ""), (V.NOT_TOKEN, " "))
+_tokens = rr(clean("name"), *V.NAME_STEPS)
 _leet = rf"list_transform({split(_tokens)}, lambda x: CASE WHEN regexp_matches(x, '\p{{L}}') AND regexp_matches(x, '\d') THEN translate(x, '{V.LEET_FROM}', '{V.LEET_TO}') ELSE x END)"
-_alias = "trim(" + rr(f"regexp_extract({clean('name')}, {q(V.ALIAS + r'\s+(.+)$')}, 1)", (r"['’`.]", ""), (V.NOT_TOKEN, " ")) + ")"
+_alias = "trim(" + rr(f"regexp_extract({clean('name')}, {q(V.ALIAS + r'\s+(.+)$')}, 1)", *V.ALIAS_STEPS) + ")"
 TOK = f"tok AS (SELECT *, {_leet} AS raw_tok FROM ent)"
 NAM = f"""nam0 AS (SELECT *, {mapped("raw_tok", V.NAME_CANON)} AS name_tok FROM tok), nam1 AS (SELECT *, list_filter(name_tok, lambda x: x NOT IN {names(V.NAME_STOP)}) AS core_tok FROM nam0),
 nam AS (SELECT *, {joined("name_tok")} AS name_str, {joined("core_tok")} AS core_str, {joined("core_tok", "")} AS concat, {_alias} AS alias_str, regexp_matches({clean("name")}, {q(V.DOMAIN)}) AS is_domain FROM nam1)"""
-_base = rr(clean("addr"), (r"<null>|\bnull\b|\bn/a\b|\bnone\b", " "), (r"(\d+)\s*(?:st|nd|rd|th)\b", "$1"))
+_digits = "".join(chr(b + d) for b in range(0x0966, 0x0DE7, 0x80) for d in range(10))
+_base = rr(f"translate({clean('addr')}, '{_digits}', '{'0123456789' * 9}')", *V.ADDRESS_STEPS)
 _zeros = lambda x: rf"regexp_replace({x}, '^0+(\d)', '\1')"
-ADR = f"""adr0 AS (SELECT *, list_transform(string_split({_base}, ','), lambda c: trim({rr("c", (V.NOT_TOKEN, " "), (r"\s+", " "))})) AS parts FROM nam),
-adr1 AS (SELECT *, list_transform(parts, lambda c: {case("country || '|' || c", state_table(), "NULL")}) AS codes FROM adr0),
-adr2 AS (SELECT *, coalesce(list_filter(codes, lambda c: c IS NOT NULL)[-1], '') AS state, {joined("list_filter(parts, lambda c, i: codes[i] IS NULL AND c <> '')")} AS rest FROM adr1),
-adr3 AS (SELECT *, list_transform(regexp_extract_all(rest, '\\d+'), lambda x: {_zeros("x")}) AS addr_num, {mapped(split(rr("rest", (r"(\d)([a-z])", "$1 $2"), (r"([a-z])(\d)", "$1 $2"))), V.ADDR_CANON)} AS addr_all FROM adr2),
+ADR_PARTS = f"""adr0 AS (SELECT *, list_transform(string_split({_base}, ','), lambda c: trim({rr("c", (V.NOT_TOKEN, " "), (r"\s+", " "))})) AS parts FROM nam),
+adr1 AS (SELECT *, list_transform(parts, lambda c: {case("country || '|' || c", state_table(), "NULL")}) AS codes FROM adr0)"""
+_apart = split(rr("rest", *V.APART_STEPS))
+ADR_REST = f"""adr2 AS (SELECT *, coalesce(list_filter(codes, lambda c: c IS NOT NULL)[-1], '') AS state, {joined("list_filter(parts, lambda c, i: codes[i] IS NULL AND c <> '')")} AS rest FROM adr1),
+adr3 AS (SELECT *, list_transform(regexp_extract_all(rest, '\\d+'), lambda x: {_zeros("x")}) AS addr_num, {mapped(_apart, V.ADDR_CANON)} AS addr_all FROM adr2),
 rec AS (SELECT *, {joined(f"list_transform(addr_all, lambda x: {_zeros('x')})")} AS addr_str, list_filter(addr_all, lambda x: NOT regexp_full_match(x, '\\d+') AND x NOT IN {names(V.ADDR_STOP)}) AS addr_tok, trim(rest) = '' AS addr_missing FROM adr3)"""
+ADR = f"{ADR_PARTS}, {ADR_REST}"
 REC = ", ".join((ENT, TOK, NAM, ADR))
 
+# Another script: consonants that candidates are written with, and what the rules make of them.
+LATIN, LETTERS, DIGITS = "kgcjtdnpbmyrlvsh", "कगचजटडनपबमयरलवसह", "०१२३४५६७८९"
+SOUNDS = {"क": "k", "ग": "g", "च": "ch", "ज": "j", "ट": "t", "ड": "d", "न": "n", "प": "p", "ब": "b", "म": "m", "य": "y", "र": "r", "ल": "l", "व": "v", "स": "s", "ह": "h"}
+NATIVE = r"[\x{0900}-\x{0DFF}]"
+
+
+def romanised(x: str) -> str:
+    """A token of these letters in Latin ones: a consonant has an a behind it unless it is the last character; doubled letters are one."""
+    other = "CASE WHEN regexp_matches(c, '[A-Za-z0-9]') THEN lower(c) ELSE '' END"
+    sound = f"CASE WHEN regexp_matches(c, '{NATIVE}') THEN {case('c', SOUNDS, repr(''))} || CASE WHEN i < length({x}) THEN 'a' ELSE '' END ELSE {other} END"
+    out = f"array_to_string(list_transform(string_split({x}, ''), lambda c, i: {sound}), '')"
+    for c in "abcdefghijklmnopqrstuvwxyz0123456789":
+        out = f"regexp_replace({out}, '{c}{c}+', '{c}', 'g')"
+    return out
+
+
+_other = f"CASE WHEN src <> 1 THEN translate(lower(name), '{LATIN}', '{LETTERS}') ELSE name END AS name, CASE WHEN src <> 1 THEN translate(lower(addr), '{LATIN}0123456789', '{LETTERS}{DIGITS}') ELSE addr END AS addr"
+NATIVE_TOK = ", ".join((ENT.replace("ent AS", "ent0 AS", 1), f"ent AS (SELECT src, entity_id, {_other}, country, text FROM ent0)", TRUTH, TOK))
+NATIVE_ADR = ", ".join((NAM, ADR_PARTS))
+_best = "SELECT native, {0} FROM (SELECT *, row_number() OVER (PARTITION BY native ORDER BY n DESC, {0}) AS r, sum(n) OVER (PARTITION BY native) AS total FROM {1}) WHERE r = 1 AND n >= 2 AND n / total {2}"
+LEARNED_TOKENS = f"""lt AS (SELECT unnest(list_zip(a.raw_tok, b.raw_tok)) AS z FROM truth t JOIN tok a ON a.entity_id = s1_id JOIN tok b ON b.entity_id = cand_id WHERE len(a.raw_tok) = len(b.raw_tok)),
+lc AS (SELECT z[2] AS native, z[1] AS latin, count(*) AS n FROM lt WHERE regexp_matches(z[2], '{NATIVE}') GROUP BY ALL), dict AS ({_best.format("latin", "lc", ">= 0.4")})"""
+LEARNED_STATES = f"""ls AS (SELECT unnest(b.parts) AS native, coalesce(list_filter(a.codes, lambda c: c IS NOT NULL)[-1], '') AS code FROM truth t JOIN adr1 a ON a.entity_id = s1_id JOIN adr1 b ON b.entity_id = cand_id),
+lsc AS (SELECT native, code, count(*) AS n FROM ls WHERE code <> '' AND regexp_matches(native, '{NATIVE}') GROUP BY ALL), sdict AS ({_best.format("code", "lsc", "> 0.6")})"""
+ROMANISED_TOK = f"""rt0 AS (SELECT entity_id, unnest(raw_tok) AS t, unnest(range(1, len(raw_tok) + 1)) AS i FROM tok),
+rt1 AS (SELECT entity_id, i, CASE WHEN regexp_matches(t, '{NATIVE}') THEN coalesce(latin, {romanised("t")}) ELSE t END AS t FROM rt0 LEFT JOIN dict ON t = native),
+rt2 AS (SELECT entity_id, list(t ORDER BY i) FILTER (t <> '') AS rt FROM rt1 GROUP BY 1), rtok AS (SELECT tok.* EXCLUDE (raw_tok), coalesce(rt, []) AS raw_tok FROM tok LEFT JOIN rt2 USING (entity_id))"""
+
 _fold = lambda c: f"strip_accents(coalesce({c}, ''))"
-_low = "lower(" + rr(_fold("name"), ("(?i)^(https?://)?(www\\.)?", ""), (V.PLAIN_DOMAIN, " "), (r"[\[\](){}]", " "), (r"^[^\p{L}\p{N}]+", "")) + ")"
+_low = "lower(" + rr(_fold("name"), *V.PLAIN_STEPS[:3], (r"^[^\p{L}\p{N}]+", "")) + ")"
+_last = "(?s)^(.*[^0-9]|)([0-9]{5}(?:-[0-9]{4})?)([^0-9].*|)$"
 _rest = rr(_fold("addr"), (V.LANDMARK, " "))
 PLAIN = f"""pl0 AS (SELECT *, {_low} AS low, {_rest} AS arest, trim(coalesce(addr, '')) = '' AS is_missing FROM ent),
 pl1 AS (SELECT *, regexp_extract(low, {q(rf"\b({V.LEGAL})\b\.?")}, 1) AS suffix0, {mapped("list_filter(regexp_split_to_array(" + rr("low", (rf"\b(?:{V.LEGAL})\b\.?", " "), ("&", " and "), (r"[^a-z0-9\s]", " ")) + r", '\s+'), lambda x: x <> '')", V.NAME_WORDS)} AS n_tok,
 (regexp_matches(trim({_fold("name")}), {q(V.PLAIN_DOMAIN)}) OR (NOT contains(trim({_fold("name")}), ' ') AND length(trim({_fold("name")})) > 8 AND regexp_matches({_fold("name")}, '\\p{{L}}'))) AS is_domain,
-CASE WHEN is_missing THEN '' ELSE regexp_extract(arest, '(?:^|[^0-9])([0-9]{{5}}(?:-[0-9]{{4}})?)(?:[^0-9]|$)', 1) END AS postcode,
+CASE WHEN is_missing THEN '' ELSE regexp_extract(arest, '{_last}', 2) END AS postcode,
 CASE WHEN is_missing THEN [] ELSE {mapped("list_filter(regexp_split_to_array(" + rr("lower(arest)", (r"[^a-z0-9\s]", " ")) + r", '\s+'), lambda x: x <> '')", V.STREET_WORDS)} END AS a_tok,
-CASE WHEN is_missing THEN [] ELSE list_distinct(list_transform(regexp_extract_all(arest, {q(V.HOUSE_NUMBER)}, 1), lambda x: lower(x))) END AS house0,
+CASE WHEN is_missing THEN [] ELSE list_distinct(list_transform(regexp_extract_all(regexp_replace(arest, '{_last}', '\\1 \\3'), {q(V.HOUSE_NUMBER)}, 1), lambda x: lower(x))) END AS house0,
 trim(regexp_extract({_fold("addr")}, {q(V.LANDMARK)})) AS landmark FROM pl0),
-pl AS (SELECT *, {joined("n_tok")} AS n_norm, {joined("list_sort(n_tok)")} AS n_sorted, {joined("n_tok", "")} AS n_despaced, {case("suffix0", V.LEGAL_CANON, "suffix0")} AS n_suffix, {joined("a_tok")} AS a_norm, list_sort(list_filter(house0, lambda x: x <> postcode)) AS house FROM pl1)"""
+pl AS (SELECT *, {joined("n_tok")} AS n_norm, {joined("list_sort(n_tok)")} AS n_sorted, {joined("n_tok", "")} AS n_despaced, {case("suffix0", V.LEGAL_CANON, "suffix0")} AS n_suffix, {joined("a_tok")} AS a_norm, list_sort(house0) AS house FROM pl1)"""
 
 _pairs = lambda h: f"flatten(list_transform({h}, lambda x, i: list_transform(list_filter({h}, lambda y, j: j > i), lambda y: least(x, y) || '|' || greatest(x, y))))"
 _product = lambda a, b: f"flatten(list_transform({a}, lambda x: list_transform({b}, lambda y: x || '|' || y)))"
@@ -201,7 +233,28 @@ SELECT tau::DOUBLE AS tau, round(avg({f_score("coalesce(tp, 0)", "coalesce(named
     "oracle_f05": f"WITH {PAIRS}, links AS (SELECT s1_id, cand_id FROM pairs JOIN truth USING (s1_id, cand_id)), {COUNTS} {METRICS}",
     "sink_matches": f"WITH {PAIRS} SELECT entity_id AS source1_entity_id, coalesce(array_to_string(list(cand_id ORDER BY p DESC, cand_id) FILTER (cand_id IS NOT NULL), ','), '') AS matched_entity_ids FROM ent LEFT JOIN (SELECT * FROM pairs WHERE p >= 0.7) ON s1_id = entity_id WHERE ent.src = 1 GROUP BY 1",
     "sink_candidates": f"WITH {PAIRS} SELECT entity_id AS source1_entity_id, coalesce(array_to_string(list(cand_id ORDER BY cand_id) FILTER (cand_id IS NOT NULL), ','), '') AS candidate_entity_ids FROM ent LEFT JOIN pairs ON s1_id = entity_id WHERE ent.src = 1 GROUP BY 1",
-    "token_dictionary": f"""WITH {ENT}, {TRUTH}, w AS (SELECT t.s1_id, t.cand_id, list_filter(string_split(strip_accents(lower(a.name)), ' '), lambda x: x <> '') AS lat, list_filter(string_split(lower(b.name), ' '), lambda x: x <> '') AS nat FROM truth t JOIN ent a ON a.entity_id = s1_id JOIN ent b ON b.entity_id = cand_id),
-z AS (SELECT unnest(list_zip(lat, nat)) AS z FROM w WHERE len(lat) = len(nat)), c AS (SELECT z[2] AS native, z[1] AS latin, count(*) AS n FROM z WHERE regexp_matches(z[2], '[à-ÿ]') GROUP BY ALL)
-SELECT native, latin FROM (SELECT *, row_number() OVER (PARTITION BY native ORDER BY n DESC, latin) AS r, sum(n) OVER (PARTITION BY native) AS total FROM c) WHERE r = 1 AND n >= 2 AND n / total >= 0.4""",
+    "truth_parsed": f"WITH {ENT}, {TRUTH} SELECT * FROM truth",
+    "token_dictionary": f"WITH {NATIVE_TOK}, {LEARNED_TOKENS} SELECT native, latin FROM dict",
+    "state_dictionary": f"WITH {NATIVE_TOK}, {NATIVE_ADR}, {LEARNED_STATES} SELECT native, code FROM sdict",
+    "native_names": f"WITH {NATIVE_TOK}, {LEARNED_TOKENS}, {ROMANISED_TOK}, {NAM.replace('FROM tok)', 'FROM rtok)')} SELECT entity_id, name_str, core_str, concat, is_domain FROM nam",
+    "native_addresses": f"""WITH {NATIVE_TOK}, {NATIVE_ADR}, {LEARNED_STATES},
+p1 AS (SELECT entity_id, unnest(parts) AS part, unnest(codes) AS code, unnest(range(1, len(parts) + 1)) AS i FROM adr1),
+p2 AS (SELECT entity_id, list(part ORDER BY i) AS parts, list(coalesce(p1.code, sdict.code) ORDER BY i) AS codes FROM p1 LEFT JOIN sdict ON part = native GROUP BY 1),
+adr1n AS (SELECT adr1.* EXCLUDE (parts, codes), p2.parts, p2.codes FROM adr1 JOIN p2 USING (entity_id)),
+{ADR_REST.replace("FROM adr1)", "FROM adr1n)").replace(_apart, f"list_filter(list_transform({_apart}, lambda t: CASE WHEN regexp_matches(t, '{NATIVE}') THEN {romanised('t')} ELSE t END), lambda t: t <> '')")}
+SELECT entity_id, state, {joined('addr_tok')} AS addr_tok, {joined('addr_num')} AS addr_num, addr_str, addr_missing FROM rec""",
+    "reranked_fixed": f"""WITH {BLOCK}, f AS ({both("rec", "addr_num", "addr_str", pairs="(" + top("scored", 120) + ")")}),
+g AS (SELECT *, len(list_intersect(addr_num_a, addr_num_b)) AS ni, bscore / max(bscore) OVER (PARTITION BY s1_id) AS bs, ln(1 + row_number() OVER (PARTITION BY s1_id ORDER BY bscore DESC, cand_id)) AS br FROM f),
+h AS (SELECT s1_id, cand_id, bs, br, (addr_str_b = '')::DOUBLE AS am, (len(addr_num_a) > 0 AND len(addr_num_b) > 0 AND ni = 0)::DOUBLE AS nc, (ni > 0)::DOUBLE AS nm FROM g),
+r AS (SELECT *, round(-1.0::DOUBLE + bs * 2.0::DOUBLE + br * (-0.5)::DOUBLE + am * 0.25::DOUBLE + nc * (-0.75)::DOUBLE + nm * 0.5::DOUBLE, 6) AS rscore FROM h)
+SELECT s1_id, cand_id, round(bs, 6) AS r_bs, round(br, 6) AS r_brank, am AS r_addr_missing, nc AS r_num_conflict, nm AS r_num_match, rscore, (row_number() OVER (PARTITION BY s1_id ORDER BY rscore DESC, cand_id) - 1)::INTEGER AS brank FROM r
+QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY rscore DESC, cand_id) <= 25""",
+    "expected_f_decode": f"""WITH {PAIRS}, r AS (SELECT s1_id, cand_id, p, row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, cand_id) AS r FROM pairs QUALIFY r <= 12),
+l AS (SELECT s1_id, list(p ORDER BY r) AS ps FROM r GROUP BY 1), u AS (SELECT DISTINCT ps, len(ps) AS n FROM l),
+m AS (SELECT ps, n, mask, bit_count(mask) AS t, list_product(list_transform(ps, lambda p, i: CASE WHEN (mask >> (i - 1)::BIGINT) & 1 = 1 THEN p ELSE 1 - p END)) AS w FROM u, unnest(range(0, (1::BIGINT << n::BIGINT))) AS x(mask)),
+e AS (SELECT ps, k, round(fsum(w * CASE WHEN k = 0 THEN (t = 0)::INTEGER WHEN t = 0 THEN 0 ELSE 1.25 * bit_count(mask & ((1::BIGINT << k::BIGINT) - 1)) / (0.25 * t + k) END), 12) AS f FROM m, unnest(range(0, n + 1)) AS y(k) GROUP BY ALL),
+b AS (SELECT ps, k FROM e QUALIFY row_number() OVER (PARTITION BY ps ORDER BY f DESC, k) = 1)
+SELECT s1_id, cand_id FROM r JOIN l USING (s1_id) JOIN b USING (ps) WHERE r <= k""",
+    "romanised_tokens": f"""WITH {ENT}, t AS (SELECT DISTINCT unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS token FROM ent)
+SELECT token, translate(token, '{LATIN}', '{LETTERS}') AS native, {romanised(f"translate(token, '{LATIN}', '{LETTERS}')")} AS latin, CASE WHEN regexp_matches(token, '[{LATIN}]') THEN 0 END AS script FROM t WHERE token <> ''""",
 }

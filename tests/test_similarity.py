@@ -47,6 +47,45 @@ def test_partial_ratio_tries_every_stretch_of_short_texts():
         assert s.partial_ratio(a, b) == pytest.approx(best)
 
 
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefghijklmnop "])
+def test_partial_ratio_of_long_texts_tries_every_stretch(alphabet):
+    rnd = random.Random(5)
+    for _ in range(25):
+        a, b = ("".join(rnd.choices(alphabet, k=rnd.randint(70, 300))) for _ in "ab")
+        if rnd.random() < 0.4:
+            at = rnd.randrange(len(b))
+            b = b[:at] + "".join(c for c in a if rnd.random() < 0.9) + b[at:]
+        if len(a) > len(b):
+            a, b = b, a
+        n = len(a)
+        best = max(200.0 * lcs_fast(a, w) / (n + len(w)) for e in range(1, len(b) + n) for w in [b[max(0, e - n) : min(e, len(b))]])
+        assert s.partial_ratio(a, b) == pytest.approx(best, abs=1e-9) == s.partial_ratio(b, a)
+
+
+def lcs_fast(a, b):
+    """Rows of the quadratic algorithm as numpy: matches of a new character, then running maxima."""
+    import numpy as np
+
+    x, row = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.zeros(len(a) + 1, np.int64)
+    for c in b:
+        new = row.copy()
+        new[1:] = np.maximum(row[1:], row[:-1] + (x == ord(c)))
+        row = np.maximum.accumulate(new)
+    return int(row[-1])
+
+
+def test_scores_of_columns_equal_the_functions(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(6)
+    rows = [(" ".join("".join(rnd.choices("abcé", k=rnd.randint(1, 6))) for _ in range(rnd.randint(0, 30))), " ".join(rnd.choices(["abc", "ab", "cé", "a"], k=rnd.randint(0, 30)))) for _ in range(60)] + [(None, "a"), (None, None), ("same text", "same text")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select("a", "b", s.scores({k: (k, F.col("a"), F.col("b")) for k in s.SCORERS}).alias("s")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["s"].asDict() == {k: pytest.approx(f(r["a"] or "", r["b"] or "")) for k, f in s.SCORERS.items()}
+
+
 def test_partial_ratio_of_long_texts_finds_the_stretch():
     rnd = random.Random(3)
     inner = "".join(rnd.choices("abcdefghij ", k=300))

@@ -44,11 +44,97 @@ def test_grams(column):
         ("005 Elm St", "", ["05"]), ("5 Elm St", "", []), ("12/4B MG Road", "", ["12/4b"]), ("1 Oak, 01234", "01234", ["1234"]),
     ],
 )
-def test_postcode_and_house_numbers(column, address, postcode, numbers):
+def test_postcode_and_house_numbers_of_the_compatible_form(column, address, postcode, numbers):
+    a = column(lambda c: X.plain_address(c, compat=True), address)[0]
+    assert (a["postcode"], a["house_numbers"]) == (postcode, numbers)
+
+
+@pytest.mark.parametrize(
+    ("address", "postcode", "numbers"),
+    [
+        ("13614 Peacockfarm Rd", "13614", []), ("013614 Peacockfarm Rd", "", ["13614"]), ("13614 Peacockfarm Rd, Austin 78701", "78701", ["13614"]),
+        ("12 Main St, 12345-6789", "12345-6789", ["12"]), ("1 Oak, 01234", "01234", []), ("22 Elm, 12345-67890 x", "67890", ["12345", "22"]),
+        ("12345 Oak, 54321\n", "54321", ["12345"]), ("12/4B MG Road", "", ["12/4b"]), ("123456 x", "", ["123456"]),
+    ],
+)
+def test_postcode_is_the_last_run_of_five_digits_and_no_house_number(column, address, postcode, numbers):
     a = column(X.plain_address, address)[0]
     assert (a["postcode"], a["house_numbers"]) == (postcode, numbers)
 
 
+#: Worked out by hand: name, all words, core words, alias, whether it is a domain.
+NAMES = [
+    ("Ácme Holdings Limited", "acme holdings ltd", "acme holdings", "", False),
+    ("The Smith & Sons Co.", "the smith and sons co", "smith sons", "", False),
+    ("J.P. Morgan Services, Inc", "jp morgan services inc", "jp morgan", "", False),
+    ("Br0wn's Centre (ID: 4521)", "browns center", "browns", "", False),
+    ("www.example-shop.co.in", "example shop", "example shop", "", True),
+    ("Tata Motors dba Tata Mfg Intl", "tata motors dba tata manufacturing international", "tata motors tata manufacturing international", "tata mfg intl", False),
+    ("Société Générale S.A.", "societe generale sa", "generale", "", False),
+    ("Acme a.k.a Widget Works", "acme aka widget works", "acme widget works", "widget works", False),
+    ("7-Eleven 24 Store", "7 eleven 24 store", "7 eleven 24 store", "", False),
+    (None, "", "", "", False),
+    ("A & B Bros", "a and b brothers", "brothers", "", False),
+    ("Customer 12345678 Ltd", "customer ltd", "customer", "", False),
+    ("O'Brien+Partners LLP", "obrien and partners llp", "obrien", "", False),
+    ("कमल Pvt Ltd", "kamal pvt ltd", "kamal", "", False),
+    ("PVTLTD Steel", "pvt ltd steel", "steel", "", False),
+    ("Int3rnational Cafe formerly Old-Place 9", "international cafe formerly old place 9", "international cafe old place 9", "old place 9", False),
+]
+#: Worked out by hand: address, country, state, words and numbers, words, numbers, whether it is missing.
+ADDRESSES = [
+    ("12 Oak St, Austin, TX", "US", "tx", "12 oak street austin", "oak austin", "12", False),
+    ("5th Avenue, New York", "US", "ny", "5 avenue", "", "5", False),
+    ("007 MG Road, Bengaluru, Karnataka", "India", "ka", "7 mg road bengaluru", "mg bengaluru", "7", False),
+    ("<null>", "US", "", "", "", "", True),
+    ("N/A", "US", "", "", "", "", True),
+    ("Flat 4B, 2nd Floor, Goa", "India", "ga", "flat 4 b 2 floor", "", "4 2", False),
+    ("Texas", "US", "tx", "", "", "", True),
+    ("1 Rue de la Paix, Paris", "France", "", "1 rue de la paix paris", "paix paris", "1", False),
+    ("Twelve Oaks, TX, Texas", "US", "tx", "twelve oaks", "twelve oaks", "", False),
+    ("१२ Main Rd, Kerala", "India", "kl", "12 main road", "", "12", False),
+    ("12 Main St, Texas", "France", "", "12 main street texas", "texas", "12", False),
+    ("Plot 3, Sector 21, Chandigarh", "India", "ch", "plot 3 sector 21", "", "3 21", False),
+    ("Opp. City Mall, 45 Hwy 6", "US", "", "opposite city mall 45 highway 6", "mall", "45 6", False),
+    ("first cross, third main", "India", "", "1 cross 3 main", "", "", False),
+]
+
+
+def test_names_worked_out_by_hand(spark):
+    df = spark.createDataFrame([(1, str(i), n, "", "US") for i, (n, *_) in enumerate(NAMES)], RECORD)
+    got = {r["entity_id"]: r for r in normalize.names(df).collect()}
+    for i, (name, words, core, alias, domain) in enumerate(NAMES):
+        r = got[str(i)]
+        assert (r["name_str"], r["core_str"], r["alias_str"], r["is_domain"]) == (words, core, alias, domain), name
+        assert r["concat"] == core.replace(" ", "")
+
+
+def test_addresses_worked_out_by_hand(spark):
+    df = spark.createDataFrame([(1, str(i), "x", a, c) for i, (a, c, *_) in enumerate(ADDRESSES)], RECORD)
+    got = {r["entity_id"]: r for r in normalize.addresses(df).collect()}
+    for i, (address, _, state, text, words, numbers, missing) in enumerate(ADDRESSES):
+        r = got[str(i)]
+        assert (r["state"], r["addr_str"], " ".join(r["addr_tok"]), " ".join(r["addr_num"]), r["addr_missing"]) == (state, text, words, numbers, missing), address
+
+
+def test_dictionaries_of_native_words_and_states(spark):
+    from kinfold.operators import learn
+
+    rows, links = [], []
+    for i in range(25):
+        rows += [(1, f"S1-{i}", f"kamla shop {i}", f"{i} road, kerala", "India"), (2, f"S2-{i}", f"कमल shop {i}", f"{i} road, केरल", "India")]
+        links.append((f"S1-{i}", f"S2-{i}"))
+    rows += [(2, "S2-x", "कमल", "केरल", "France"), (2, "S2-y", "दिल्ली", "गोवा", "India")]
+    e, l = spark.createDataFrame(rows, RECORD), spark.createDataFrame(links, "s1_id string, cand_id string")
+    tokens, states = learn.dictionaries(normalize.unromanised(e), l)
+    assert [tuple(r) for r in tokens.collect()] == [("कमल", "kamla")] and [tuple(r) for r in states.collect()] == [("केरल", "kl")]
+    got = {r["entity_id"]: r for r in normalize.normalized(e, tokens, True, states).collect()}
+    assert got["S2-3"]["name_str"] == "kamla shop 3" and got["S2-3"]["state"] == "kl" and got["S2-3"]["addr_str"] == "3 road"
+    assert got["S2-x"]["state"] == "kl" and got["S2-x"]["addr_missing"]  # a state of any country
+    assert got["S2-y"]["name_str"] == "dili" and got["S2-y"]["state"] == ""
+    assert learn.dictionaries(normalize.unromanised(e), l.limit(3))[1].count() == 0
+
+
 def test_plain_address_edge_cases(column):
     a, b, c = column(X.plain_address, None, "  ", "Near City Mall, 12 Oak St")
     assert a["is_missing"] and b["is_missing"] and a["tokens"] == [] and not c["is_missing"]
