@@ -13,8 +13,8 @@ from ..functions.similarity import scores
 from ..functions.vocabulary import KEY_TYPES
 from ..operators import blocking, context, decode, features, learn, normalize
 from ..sources import records as S
-from .resolve import keep, resolve, resolve_plain, train, train_plain
-from .session import ship, spread
+from .resolve import resolve, resolve_plain, train, train_plain
+from .session import ship, spread, stored
 from .sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,12 +35,12 @@ def ent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records in normal form, kept while a query reads them several times."""
-    return keep(normalize.normalized(ent(spark, sf_dir), native=False))
+    """Records in normal form, written once for all that a query reads of them."""
+    return stored(normalize.normalized(ent(spark, sf_dir), native=False))
 
 
 def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keep(normalize.plain(ent(spark, sf_dir)))
+    return stored(normalize.plain(ent(spark, sf_dir)))
 
 
 #: Letters and digits, and those that natively() writes in their place.
@@ -64,9 +64,9 @@ def first(e: DataFrame) -> DataFrame:
     return e.where("src = 1").select(F.col("entity_id").alias("s1_id"))
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pairs(spark: SparkSession, sf_dir: str, records: DataFrame | None = None) -> DataFrame:
     """Shortlist with a probability out of the block score."""
-    p = blocking.block(rec(spark, sf_dir), 25)
+    p = blocking.block(records or rec(spark, sf_dir), 25)
     return p.select("s1_id", "cand_id", "src", "bscore", F.round(F.col("bscore") / (F.col("bscore") + 40), 6).alias("p"))
 
 
@@ -110,23 +110,23 @@ def addresses(spark, sf_dir):
 
 @query
 def plain_names(spark, sf_dir):
-    return plain(spark, sf_dir).select("entity_id", *(F.col(f"n.{c}") for c in ("norm", "sorted", "despaced", "suffix", "is_domain")))
+    return normalize.plain(ent(spark, sf_dir)).select("entity_id", *(F.col(f"n.{c}") for c in ("norm", "sorted", "despaced", "suffix", "is_domain")))
 
 
 @query
 def plain_addresses(spark, sf_dir):
-    return plain(spark, sf_dir).select("entity_id", "a.norm", "a.postcode", F.array_join("a.house_numbers", ",").alias("house_numbers"), "a.landmark", "a.is_missing")
+    return normalize.plain(ent(spark, sf_dir)).select("entity_id", "a.norm", "a.postcode", F.array_join("a.house_numbers", ",").alias("house_numbers"), "a.landmark", "a.is_missing")
 
 
 @query
 def grams(spark, sf_dir):
-    return plain(spark, sf_dir).select(F.explode(X.grams(F.col("n.despaced"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return normalize.plain(ent(spark, sf_dir)).select(F.explode(X.grams(F.col("n.despaced"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 for _k in KEY_TYPES:
 
     def _keys(spark, sf_dir, k=_k):
-        return blocking.keys(rec(spark, sf_dir)).where(F.col("kt") == k).select("entity_id", "country", "key")
+        return blocking.keys(normalize.normalized(ent(spark, sf_dir), native=False)).where(F.col("kt") == k).select("entity_id", "country", "key")
 
     _keys.__name__ = f"keys_{_k}"
     query(_keys)
@@ -168,7 +168,8 @@ def blocking_diagnostics(spark, sf_dir):
 @query
 def overlap_features(spark, sf_dir):
     wanted = [c for c in features.STRING if c in "c_inter c_len_a c_len_b aw_inter aw_len_a aw_len_b num_inter num_len_a num_len_b num_first_eq num_conflict state_cmp addr_missing_b is_domain_b acronym_b native_b src_b x_len_a x_len_b x_prefix c_cov_a c_cov_b aw_cov_b num_cov_b".split()]
-    p = features.overlap_features(features.attach(pairs(spark, sf_dir).select("s1_id", "cand_id"), rec(spark, sf_dir)))
+    r = rec(spark, sf_dir)
+    p = features.overlap_features(features.attach(pairs(spark, sf_dir, r).select("s1_id", "cand_id"), r))
     return rounded(p.select("s1_id", "cand_id", *wanted), "c_cov_a", "c_cov_b", "aw_cov_b", "num_cov_b")
 
 
@@ -182,21 +183,23 @@ def plain_features(spark, sf_dir):
 
 @query
 def jaro_winkler(spark, sf_dir):
-    p = features.attach(pairs(spark, sf_dir).select("s1_id", "cand_id"), rec(spark, sf_dir), ("core_str",))
+    r = rec(spark, sf_dir)
+    p = features.attach(pairs(spark, sf_dir, r).select("s1_id", "cand_id"), r, ("core_str",))
     ascii_ = lambda c: F.regexp_replace(c, "[^a-z0-9 ]", "")  # noqa: E731  DuckDB compares bytes
     return p.select("s1_id", "cand_id", F.round(scores({"jw": ("jw", ascii_("core_str_a"), ascii_("core_str_b"))})["jw"], 6).alias("jw"))
 
 
 @query
 def number_relations(spark, sf_dir):
-    p = features.number_features(features.attach(pairs(spark, sf_dir).select("s1_id", "cand_id"), rec(spark, sf_dir), ("addr_num",)))
+    r = rec(spark, sf_dir)
+    p = features.number_features(features.attach(pairs(spark, sf_dir, r).select("s1_id", "cand_id"), r, ("addr_num",)))
     return p.select("s1_id", "cand_id", "n_near", "n_trunc", "n_exact2", "n_bigA_in_B", "n_bigB_in_A")
 
 
 def _named(spark, sf_dir):
-    e = ent(spark, sf_dir)
-    p = features.labelled(pairs(spark, sf_dir).select("s1_id", "cand_id"), S.document_truth(e))
-    return features.attach(p, rec(spark, sf_dir), ("name_str",)).select("s1_id", "cand_id", "y", F.col("name_str_a").alias("name_a"), F.col("name_str_b").alias("name_b"))
+    e, r = ent(spark, sf_dir), rec(spark, sf_dir)
+    p = features.labelled(pairs(spark, sf_dir, r).select("s1_id", "cand_id"), S.document_truth(e))
+    return features.attach(p, r, ("name_str",)).select("s1_id", "cand_id", "y", F.col("name_str_a").alias("name_a"), F.col("name_str_b").alias("name_b"))
 
 
 @query
@@ -213,7 +216,8 @@ def word_features(spark, sf_dir):
 
 @query
 def sibling_numbers(spark, sf_dir):
-    p = features.attach(pairs(spark, sf_dir).select("s1_id", "cand_id", "p"), rec(spark, sf_dir), ("name_str", "addr_str", "addr_num"))
+    r = rec(spark, sf_dir)
+    p = features.attach(pairs(spark, sf_dir, r).select("s1_id", "cand_id", "p"), r, ("name_str", "addr_str", "addr_num"))
     p = p.withColumnsRenamed({"addr_str_b": "addr_b", "name_str_b": "name_b", "addr_num_b": "num_b"})
     return features.sibling_features(p, "p", 0.5, fuzzy=False).select("s1_id", "cand_id", "sib_n", "sib_num", "sib_addr_exact")
 
@@ -334,7 +338,8 @@ def romanised_tokens(spark, sf_dir):
 
 @query
 def string_features(spark, sf_dir):
-    return features.string_features(pairs(spark, sf_dir).select("s1_id", "cand_id"), rec(spark, sf_dir))
+    r = rec(spark, sf_dir)
+    return features.string_features(pairs(spark, sf_dir, r).select("s1_id", "cand_id"), r)
 
 
 @query
