@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.session import ship
+from ..plans.session import ship, spread
 
 #: Texts that an operator holds as Python objects at a time.
 SLICE = 400
@@ -25,7 +25,7 @@ _local: list[str] = []
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:

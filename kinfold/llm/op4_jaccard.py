@@ -152,15 +152,17 @@ def with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def index(docs: DataFrame, frequent: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """(sig, doc) for each entry of each document."""
+    """(sig, doc, n: size of the set) for each entry of each document."""
 
     def run(parts):
         for part in parts:
-            got = [signatures(shingle_set(bytes(x or b""), shingle), frequent, percent) for x in part["text"]]
-            ids = np.repeat(np.array(part["doc_id"], dtype=np.int64), [len(x) for x in got])
-            yield {"sig": pa.array(np.concatenate(got).view(np.int64)), "doc": pa.array(ids)}
+            sets = [shingle_set(bytes(x or b""), shingle) for x in part["text"]]
+            got = [signatures(h, frequent, percent) for h in sets]
+            times = [len(x) for x in got]
+            ids, sizes = np.repeat(np.array(part["doc_id"], dtype=np.int64), times), np.repeat(np.array([len(h) for h in sets], dtype=np.int32), times)
+            yield {"sig": pa.array(np.concatenate(got).view(np.int64)), "doc": pa.array(ids), "n": pa.array(sizes)}
 
-    return map_columns(docs.select("doc_id", F.col("text").cast("binary").alias("text")), run, "sig long, doc long")
+    return map_columns(docs.select("doc_id", F.col("text").cast("binary").alias("text")), run, "sig long, doc long, n int")
 
 
 def hot_values(rows: DataFrame, column: str, share: int) -> list[int]:
@@ -333,9 +335,9 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
         return n
 
     def unsettled(met: DataFrame) -> DataFrame:
-        """(sig, doc, label, low, high) of the entries that still hold several components: low and high are (label, doc)."""
-        now = met.select("sig", "doc").join(label.select(F.col("node").alias("doc"), F.col("root").alias("label")), "doc", "left").select("sig", "doc", F.coalesce("label", "doc").alias("label"))
-        ends = lambda x: x.groupBy("sig").agg(F.min(F.struct("label", "doc")).alias("low"), F.max(F.struct("label", "doc")).alias("high")).where("low.label <> high.label")
+        """(sig, doc, n, label, low, high) of the entries that still hold several components: low and high are (label, doc, n)."""
+        now = met.select("sig", "doc", "n").join(label.select(F.col("node").alias("doc"), F.col("root").alias("label")), "doc", "left").select("sig", "doc", "n", F.coalesce("label", "doc").alias("label"))
+        ends = lambda x: x.groupBy("sig").agg(F.min(F.struct("label", "doc", "n")).alias("low"), F.max(F.struct("label", "doc", "n")).alias("high")).where("low.label <> high.label")
         out = cut(within(now, ends), "met")
         discard(spark, met)
         return out
@@ -343,7 +345,8 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
     for step in range(ROUNDS):
         met = unsettled(met)
         center = "high" if step % 2 else "low"
-        votes = met.where(f"label <> {center}.label").groupBy(F.col("doc").alias("u"), F.col(f"{center}.doc").alias("v")).agg(F.count("*").alias("times"))
+        fits = f"label <> {center}.label AND 100 * n >= {percent} * {center}.n AND 100 * {center}.n >= {percent} * n"
+        votes = met.where(fits).groupBy(F.col("doc").alias("u"), F.col(f"{center}.doc").alias("v")).agg(F.count("*").alias("times"))
         for old in tried:
             votes = votes.join(old, ["u", "v"], "left_anti")
         near = within_reach(votes, reps, percent)
@@ -353,7 +356,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
         if FEW * n <= links:
             break
     met = unsettled(met)
-    info = met.select("sig", "doc", "label").join(reps.select(F.col("rep").alias("doc"), "n", "sketch"), "doc")
+    info = met.select("sig", "doc", "label", "n").join(reps.select(F.col("rep").alias("doc"), F.col("n").cast("int").alias("n"), "sketch"), ["doc", "n"])
     last = cut(close_pairs(info, percent), "pairs")
     compare(last)
     discard(spark, met, last, reps, edges, *tried)
