@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _MIX, keeps, map_texts, table
+from .common import _MIX, cut, keeps, map_texts, table
 
 #: Most permille of word characters inside repeated runs of so many words, inside repeated lines, and in recurring signs.
 #: A run of a few words may recur in ordinary prose; the longer the run, the less of the text.
@@ -125,33 +125,44 @@ def _rolled(ids: np.ndarray, k: int) -> np.ndarray:
 MEASURES = (*(f"dup{k}_permille" for k in LIMITS), "dup_line_permille", "sign_permille")
 DEFAULT = dict(zip(MEASURES, (*LIMITS.values(), LINE_LIMIT, SIGN_LIMIT), strict=True))
 LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *MEASURES)
-SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(x, T.LongType()) for x in LONGS), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())])
+SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(x, T.LongType()) for x in LONGS), T.StructField("base_failed", T.BooleanType())])
 _numbers = Numbers()
 keeps(__name__, _numbers.known.clear)
 
 
-def judge(docs: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
-    """One row per row of docs (doc_id, text): the measures, base_failed and kept."""
-    limits = DEFAULT | (limits or {})
+def measured(docs: DataFrame) -> DataFrame:
+    """One row per row of docs (doc_id, text): the measures and base_failed."""
 
     def f(_, texts: list[bytes]) -> dict:
         rows = []
         for x in texts:
             n, chars, symbols, again, n3, permille, line, sign = measure(x, _numbers)
-            failed = n < LEAST_WORDS or 100 * n3 > MOST_REPEATED * n
-            of = (*permille, line, sign)
-            over = any(v > limits[k] for k, v in zip(MEASURES, of, strict=True))
-            rows.append((n, chars, symbols, again, n3, *of, failed, not failed and not over))
+            rows.append((n, chars, symbols, again, n3, *permille, line, sign, n < LEAST_WORDS or 100 * n3 > MOST_REPEATED * n))
         return dict(zip(SCHEMA.fieldNames()[1:], map(list, zip(*rows, strict=True)), strict=True))
 
     return map_texts(docs.select("doc_id", "text"), f, SCHEMA, as_bytes=True)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, spared: float = 0.999) -> dict[str, int]:
-    """Limits that spare such a share of the texts of quality 1 that pass the base rules, out of the rows not held out."""
+def judged(rows: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """rows (as measured() gives them) with kept."""
+    ok = ~F.col("base_failed")
+    for k, most in (DEFAULT | (limits or {})).items():
+        ok = ok & (F.col(k) <= most)
+    return rows.withColumn("kept", ok)
+
+
+def judge(docs: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """One row per row of docs (doc_id, text): the measures, base_failed and kept."""
+    return judged(measured(docs), limits)
+
+
+def fitted(rows: DataFrame, labels: DataFrame, spared: float = 0.999) -> dict[str, int]:
+    """Limits that spare such a share of the texts of quality 1 that pass the base rules, out of the rows not held out.
+
+    rows: as measured() gives them. At most 1,001 values of each measure reach the driver.
+    """
     good = labels.where("quality = 1 AND doc_id IS NOT NULL AND pmod(crc32(cast(cast(doc_id AS string) AS binary)), 5) <> 0").select("doc_id").distinct()
-    rows = judge(docs.select("doc_id", "text").join(good, "doc_id", "left_semi")).where("NOT base_failed")
-    # At most 1,001 values of each measure reach the driver.
+    rows = rows.where("NOT base_failed").join(good, "doc_id", "left_semi")
     long = rows.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(k).alias("v")) for k in MEASURES))).alias("m")).groupBy("m.k", "m.v").agg(F.count("*").alias("n"))
     seen: dict[str, list[tuple[int, int]]] = {}
     for r in long.collect():
@@ -165,8 +176,9 @@ def fitted(docs: DataFrame, labels: DataFrame, spared: float = 0.999) -> dict[st
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return judge(docs, fitted(docs, table(spark, sf_dir, "labels")))
+    # Texts are measured once; limits and verdicts are made of the measures, which are small.
+    rows = cut(measured(table(spark, sf_dir, "documents")), "quality")
+    return judged(rows, fitted(rows, table(spark, sf_dir, "labels")))
 
 
 _W = r"[\x20\x09-\x0D]"
@@ -176,7 +188,8 @@ OP9_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '{_W}+'), lambda x: x <> '') AS w FROM documents),
 c AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
 l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d),
-l1 AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS r FROM l0 WHERE regexp_matches(line, '[^ 	-]')),
+l1 AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS r FROM l0 WHERE regexp_matches(line, '[^ 	-
+]')),
 l AS (SELECT doc_id, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '{_W}', '', 'g'))) AS line_chars FROM l1 WHERE r > 1 GROUP BY 1),
 g AS (SELECT doc_id, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g FROM d, unnest([3, 5, 7, 10]) AS t(k), unnest(range(1, len(w) - k + 2)) AS u(i) WHERE len(w) >= k),
 h AS (SELECT doc_id, k, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, k, g) > 1),

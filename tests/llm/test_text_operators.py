@@ -418,12 +418,12 @@ def test_quality_limits_are_fitted_to_labels_that_are_not_held_out(spark, docs):
         # A quarter of a good text's words repeat; of held-out ones half.
         texts.append(f"{phrase} {rest} {phrase} {prose(rnd, 20)}" if not held(i) else f"{rest} {prose(rnd, 20)} {rest} {prose(rnd, 20)}")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(400)] + [(5, None, 0), (None, 1, 0), (10_000, 1, 0)], "doc_id long, quality int, toxic int")
-    limits = op9_quality.fitted(docs(texts), labels)
+    limits = op9_quality.fitted(op9_quality.measured(docs(texts)), labels)
     measures = [brute_quality(t)[-1][0] for i, t in enumerate(texts) if not held(i)]
     assert limits["dup5_permille"] == max(measures) and limits["sign_permille"] == op9_quality.SIGN_LIMIT
     got = by_id(op9_quality.judge(docs(texts), limits))
     assert all(got[i]["kept"] != held(i) for i in range(400))
-    assert op9_quality.fitted(docs([]), labels) == op9_quality.fitted(docs(texts), labels.limit(0)) == op9_quality.DEFAULT
+    assert op9_quality.fitted(op9_quality.measured(docs([])), labels) == op9_quality.fitted(op9_quality.measured(docs(texts)), labels.limit(0)) == op9_quality.DEFAULT
 
 
 # -- licenses
