@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -102,8 +101,8 @@ class Codec:
                     self.halves[i] = tuple(self.merged(p, 2))
         self.auto.make_automaton()
         self.part = re.compile(self._cuts())
-        #: What is known of words by themselves, and of words with a space in front: ids, decimals, number, decoded.
-        self.known: tuple[dict[str, tuple], dict[str, tuple]] = ({}, {})
+        #: Entries of words by themselves, and of words with a space in front.
+        self.known: tuple[dict, dict] = ({}, {})
         self.lines = "\n" not in self.chars and self.part.pattern != r"(?s:.+)"
 
     def _cuts(self) -> str:
@@ -210,32 +209,37 @@ class Codec:
                 at = k + 1
         return out + (self.run(part[at:]) if at < len(part) else [])
 
-    def entry(self, parts: list[str]) -> tuple[bytes, str, int, str]:
-        """(ids as little-endian 32-bit numbers, as decimals with commas, their number, what they decode to)."""
-        ids = self.part_ids(parts[0]) if len(parts) == 1 else [i for p in parts for i in self.part_ids(p)]
-        return array("i", ids).tobytes(), ",".join(map(str, ids)), len(ids), self.decode(ids, False)
+    def entry(self, w: str, spaced: int) -> str | tuple[str, str]:
+        """Ids of a word as decimals with commas; with what they decode to, if that isn't the word itself."""
+        source = SPACE + w if spaced else w
+        ids = [i for p in self.part.findall(source) for i in self.part_ids(p)]
+        out, back = ",".join(map(str, ids)), self.decode(ids, False)
+        return out if back == source.replace(SPACE, " ") else (out, back)
 
-    def word(self, w: str, spaced: int) -> tuple[bytes, str, int, str]:
+    def word(self, w: str, spaced: int) -> str | tuple[str, str]:
         """The entry of a word with or without a space in front; a stop or comma behind it is looked up by itself."""
         known = self.known[spaced]
+        got = None
         if len(w) > 1 and w[-1] in ".," and w[-2].isalpha():
-            body = known.get(w[:-1]) or self.word(w[:-1], spaced)
-            tail = self.known[0].get(w[-1]) or self.word(w[-1], 0)
-            got = (body[0] + tail[0], f"{body[1]},{tail[1]}", body[2] + tail[2], body[3] + tail[3])
-        else:
-            got = self.entry(self.part.findall(SPACE + w if spaced else w))
+            body, tail = known.get(w[:-1]) or self.word(w[:-1], spaced), self.known[0].get(w[-1]) or self.word(w[-1], 0)
+            if body.__class__ is tail.__class__ is str:
+                got = f"{body},{tail}"
+        if got is None:
+            got = self.entry(w, spaced)
         if len(w) <= self.longest:
             # When there are enough, those that came first stay; they are the frequent ones.
             if len(known) < self.most:
                 known[w] = got
         return got
 
-    def encoded(self, text: str) -> tuple[bytes, str, int, str]:
-        """The entry of a text, without the space that encoding puts in front in what it decodes to."""
+    def encoded(self, text: str) -> tuple[str, str]:
+        """(ids as decimals with commas, what they decode to)."""
         if not text:
-            return b"", "", 0, ""
+            return "", ""
         if "  " in text or text[0] == " " or SPACE in text or not self.lines:
-            return self.joined([self.entry(self.part.findall(SPACE + text.replace(" ", SPACE)))])
+            ids = [i for p in self.part.findall(SPACE + text.replace(" ", SPACE)) for i in self.part_ids(p)]
+            back = self.decode(ids, False)
+            return ",".join(map(str, ids)), back[1:] if back[:1] == " " else back
         alone, after = self.known[0].get, self.known[1].get
         got = []
         for k, line in enumerate(text.split("\n")):
@@ -247,16 +251,27 @@ class Codec:
             else:
                 got.append(after(first) or self.word(first, 1))
             got += [after(w) or self.word(w, 1) for w in rest]
-        return self.joined(got)
+        try:
+            return ",".join(got), text
+        except TypeError:
+            return self.mended(text, got)
 
     @staticmethod
-    def joined(got: list[tuple]) -> tuple[bytes, str, int, str]:
-        ids, decimals, n, back = zip(*got, strict=True)
+    def mended(text: str, got: list) -> tuple[str, str]:
+        """The same where some words don't decode to themselves."""
+        back: list[str] = []
+        at = iter(got)
+        for k, line in enumerate(text.split("\n")):
+            first, *rest = line.split(" ")
+            sources = ([("\n", ""), *([(first, "")] if first else [])] if k else [(first, " ")]) + [(w, " ") for w in rest]
+            for w, space in sources:
+                x = next(at)
+                back.append(space + w if x.__class__ is str else x[1])
         out = "".join(back)
-        return b"".join(ids), ",".join(decimals), sum(n), out[1:] if out[:1] == " " else out
+        return ",".join([x if x.__class__ is str else x[0] for x in got]), out[1:] if out[:1] == " " else out
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encoded(text)[0], dtype="<i4").tolist()
+        return ids_of(self.encoded(text)[0]).tolist()
 
     def decode(self, ids: list[int] | np.ndarray, first: bool = True) -> str:
         """Text of ids: pieces joined, spaces restored, the space that encoding put in front taken off (if first)."""
@@ -302,6 +317,10 @@ def _utf8(raw: bytes) -> str:
         return "".join(out)
 
 
+def ids_of(decimals: str) -> np.ndarray:
+    return np.fromstring(decimals, dtype=np.int32, sep=",") if decimals else np.zeros(0, dtype=np.int32)
+
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -332,17 +351,14 @@ def encode(docs: DataFrame, model_file: str, with_ids: bool = False, keep: tuple
 
     def f(_, texts: list[str]) -> dict:
         c = codec(model_file)
-        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        raw = []
-        for text in texts:
-            ids, decimals, n, back = c.encoded(text)
-            out["n_tokens"].append(n)
-            out["ids_sha256"].append(hashlib.sha256(decimals.encode()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
-            raw.append(ids)
+        got = [c.encoded(x) for x in texts]
+        out: dict[str, list] = {
+            "n_tokens": [x.count(",") + 1 if x else 0 for x, _ in got],
+            "ids_sha256": [hashlib.sha256(x.encode()).hexdigest() for x, _ in got],
+            "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for _, x in got],
+        }
         if with_ids:
-            ends = np.cumsum([0, *(len(x) // 4 for x in raw)])
-            out["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
+            out["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *out["n_tokens"]]), pa.int32()), pa.array(ids_of(",".join([x for x, _ in got if x]))))
         return out
 
     return map_texts(docs.select("doc_id", "text", *keep), f, schema)
