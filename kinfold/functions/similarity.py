@@ -96,23 +96,42 @@ def token_set_ratio(a: str, b: str) -> float:
     return out
 
 
-#: Length of the shorter text up to which every stretch is compared by itself; beyond, all are found by one combing.
-BY_ITSELF = 64
+#: Steps of comparing every stretch by itself up to which that is done; beyond, all are found by one combing.
+BY_ITSELF = 4096
+#: Pairs, and places in their grids' edges, that are combed together.
+PAIRS, EDGES = 24, 1 << 19
 
 
 def partial_ratio(a: str, b: str) -> float:
     """The best ratio of the shorter text with a stretch of the longer one of its length, which may reach over its ends."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not a:
-        return 100.0 if not b else 0.0
-    if a in b:
-        return 100.0
-    a, b = as_text(a), as_text(b)
+    return partial_ratios([(a, b)])[0]
+
+
+def partial_ratios(pairs: list[tuple[str, str]]) -> list[float]:
+    """partial_ratio of each pair; those of long texts are combed together."""
+    out, long = [], []
+    for k, (a, b) in enumerate(pairs):
+        if len(a) > len(b):
+            a, b = b, a
+        if not a or a in b:
+            out.append(100.0 if a or not b else 0.0)
+        elif len(a) * (len(a) + len(b)) > BY_ITSELF:
+            out.append(0.0)
+            long.append((len(b), len(a), k, as_text(a), as_text(b)))
+        else:
+            out.append(each_stretch(as_text(a), b))
+    long.sort(key=lambda x: x[:3])
+    while long:
+        # Grids of about one size, the largest first.
+        n = max(1, min(PAIRS, EDGES // (2 * long[-1][0])))
+        some, long = long[-n:], long[:-n]
+        for (_, n, k, _, _), (size, shared) in zip(some, combed([(a.codes, b.codes) for *_, a, b in some]), strict=True):
+            out[k] = float((200.0 * shared / (n + size)).max())
+    return out
+
+
+def each_stretch(a: Text, b: str) -> float:
     n, m, best = len(a), len(b), 0.0
-    if n > BY_ITSELF:
-        size, shared = stretches(a.codes, b.codes)
-        return float((200.0 * shared / (n + size)).max())
     places = a.places
     for end in range(1, m + n):
         s, e = max(0, end - n), min(end, m)
@@ -122,38 +141,49 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
-def stretches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths, longest common subsequences with a) of all stretches of b as long as a, or cut off at an end of b.
+def combed(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each pair (a, b): (lengths, longest common subsequences with a) of all stretches of b as long as a, or cut off at
+    an end of b.
 
     Strands enter a grid of a against b from the left and from above and leave it to the right and below. They are combed
     cell by cell, all cells of a diagonal together: where characters are equal both strands turn, and so do strands that
     have crossed before. A stretch of b shares as many characters with a as it has, less the strands that enter from above
-    it and leave below it.
+    it and leave below it. Grids are made of one size by characters that are equal to none.
     """
-    n, m = len(a), len(b)
-    back = a[::-1].copy()
-    left, above = np.arange(n, dtype=np.int32), np.arange(n, n + m, dtype=np.int32)
+    n, m = max(len(a) for a, _ in pairs), max(len(b) for _, b in pairs)
+    code = np.uint16 if all(x.max() < 0xFFFE for p in pairs for x in p) else np.uint32
+    back, over = np.zeros((len(pairs), n), dtype=code), np.ones((len(pairs), m), dtype=code)
+    for k, (a, b) in enumerate(pairs):
+        back[k, n - len(a) :] = a[::-1] + np.uint32(2)
+        over[k, : len(b)] = b + np.uint32(2)
+    # Sums of strands may wrap around; the difference that is wanted doesn't.
+    strand = np.int16 if n + m < 1 << 15 else np.int32
+    left, above = (np.tile(np.arange(*x, dtype=strand), (len(pairs), 1)) for x in ((0, n), (n, n + m)))
     for d in range(n + m - 1):
         lo, hi = max(0, d - n + 1), min(m - 1, d) + 1
-        x, y = left[n - 1 - d + lo : n - 1 - d + hi], above[lo:hi]
+        at = slice(n - 1 - d + lo, n - 1 - d + hi)
+        x, y = left[:, at], above[:, lo:hi]
         low = np.minimum(x, y)
-        np.copyto(low, y, where=back[n - 1 - d + lo : n - 1 - d + hi] == b[lo:hi])
+        np.copyto(low, y, where=back[:, at] == over[:, lo:hi])
         y += x
         y -= low
         x[:] = low
-    begin = above - n
+    return [through(above[k, : len(b)].astype(np.int64) - n, len(a)) for k, (a, b) in enumerate(pairs)]
+
+
+def through(begin: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, common subsequences) of stretches; begin: where the strand that leaves below each place entered from above."""
+    m = len(begin)
     leaves = np.full(m, m + 1)
-    inside = begin >= 0
+    inside = (begin >= 0) & (begin < m)
     leaves[begin[inside]] = np.flatnonzero(inside)
     ends = np.arange(1, n + m)
     s, e = np.maximum(0, ends - n), np.minimum(ends, m)
     # A longer stretch gets the strands that leave below its new end and began within it; a shorter one loses those that
     # began above its old start and leave within it.
     more = np.where(ends <= m, begin[np.minimum(ends, m) - 1] >= s, False)
-    before = np.maximum(s - 1, 0)
-    less = np.where(s > 0, leaves[before] < np.where(ends <= m, e - 1, e), False)
-    through = np.cumsum(more.astype(np.int64) - less)
-    return e - s, (e - s) - through
+    less = np.where(s > 0, leaves[np.maximum(s - 1, 0)] < np.where(ends <= m, e - 1, e), False)
+    return e - s, (e - s) - np.cumsum(more.astype(np.int64) - less)
 
 
 def jaro(a: str, b: str) -> float:
@@ -222,14 +252,9 @@ def scores(wanted: dict[str, tuple[str, Column, Column]]) -> Column:
         lists = [[known.get(x) or known.setdefault(x, Text(x)) for x in (y or "" for y in c.to_pylist())] for c in cols]
         out, seen = [], {}
         for kind, (i, j) in zip(kinds, at, strict=True):
-            f, got = SCORERS[kind], []
-            for a, b in zip(lists[i], lists[j], strict=True):
-                key = (kind, id(a), id(b))
-                v = seen.get(key)
-                if v is None:
-                    v = seen[key] = f(a, b)
-                got.append(v)
-            out.append(pa.array(got, pa.float64()))
+            new = {key: (a, b) for a, b in zip(lists[i], lists[j], strict=True) if (key := (kind, id(a), id(b))) not in seen}
+            seen.update(zip(new, partial_ratios([*new.values()]) if kind == "partial" else map(SCORERS[kind], *zip(*new.values(), strict=True)) if new else (), strict=True))
+            out.append(pa.array([seen[kind, id(a), id(b)] for a, b in zip(lists[i], lists[j], strict=True)], pa.float64()))
         return pa.StructArray.from_arrays(out, names=names)
 
     return run(*columns)
