@@ -161,7 +161,7 @@ class Index:
         seen: Counter = Counter()
 
         def close() -> None:
-            if len(seen) >= need:
+            if held and len(seen) >= need:
                 out.append((t, held[0][0], held[-1][0] + SHINGLE, 1000 * len(seen) // len(own)))
 
         for i in range(a, b - SHINGLE + 1):
