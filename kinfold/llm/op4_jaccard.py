@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, TIMES, WordHashes, cut, discard, keeps, map_columns, map_texts, mix, shingle_hashes, skewed, table
@@ -46,6 +46,8 @@ TOGETHER = 1_000
 #: Rounds of comparing with one member, at most, before all pairs across components are compared; a round that finds under
 #: one in FEW of the links so far is the last.
 ROUNDS, FEW = 6, 50
+#: Entries before it that a row of an entry knows.
+EARLIER = [f"before{k}" for k in range(4)]
 
 #: An entry, or a document, is hot with more than one in so many rows; shingles of a set that may go to all tasks.
 HOT_ENTRIES, HOT_SETS, HOT_SIZE = 1000, 100, 1 << 16
@@ -234,20 +236,22 @@ def within_reach(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def close_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """(u, v): documents of different components that share an entry (sig, doc, label, n, sketch), within reach.
+    """(u, v): documents of different components that share an entry (sig, doc, label, n, sketch, before0, ...), within reach.
 
     The rows of an entry lie next to each other; each is compared with those behind it, all entries of a batch together,
-    and only pairs within reach are passed on. An entry of more than TOGETHER documents is dealt out to blocks, and each
+    and only pairs within reach are passed on. before: the entries of the same set that come before this one in order (0:
+    none); two sets that have one of these in common are compared there, so copies that share many entries are compared
+    in the first and a few more, not in all of them. An entry of more than TOGETHER documents is dealt out to blocks, and each
     two of its blocks are compared on their own, so no task holds a large group.
     """
     sizes = entries.groupBy("sig").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("blocks")).where("blocks > 1")
     dealt = entries.join(sizes, "sig", "left").withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("doc"), F.col("blocks"))).otherwise(0).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))))
-    dealt = dealt.select("sig", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "doc", "label", "n", "sketch")
+    dealt = dealt.select("sig", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "doc", "label", "n", "sketch", *EARLIER)
     keys = ["sig", "a", "b"]
 
     def compared(rows: dict[str, list]) -> dict[str, list]:
-        col = {k: np.array(rows[k], dtype=np.int64) for k in ("sig", "a", "b", "own", "doc", "label", "n")}
+        col = {k: np.array(rows[k], dtype=np.int64) for k in ("sig", "a", "b", "own", "doc", "label", "n", *EARLIER)}
         s, out = sketches_of(rows["sketch"]), []
         at, step = np.arange(len(col["sig"])), 0
         while True:
@@ -260,6 +264,14 @@ def close_pairs(entries: DataFrame, percent: int) -> DataFrame:
             # Two documents of one block are compared where the block meets itself.
             ok = (col["label"][at] != col["label"][to]) & (col["doc"][at] != col["doc"][to]) & ((col["a"][at] == col["b"][at]) | (col["own"][at] != col["own"][to]))
             i, j = at[ok], to[ok]
+            met = np.zeros(len(i), dtype=bool)
+            for x in EARLIER:
+                own = col[x][i]
+                # Not 0, and not this entry itself, which one document may have twice.
+                real = (own != 0) & (own != col["sig"][i])
+                for y in EARLIER:
+                    met |= real & (own == col[y][j])
+            i, j = i[~met], j[~met]
             ok = reachable(col["n"][i], col["n"][j], s[i], s[j], percent)
             u, v = col["doc"][i[ok]], col["doc"][j[ok]]
             out.append(np.stack([np.maximum(u, v), np.minimum(u, v)], 1))
@@ -356,7 +368,9 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
         if FEW * n <= links:
             break
     met = unsettled(met)
-    info = met.select("sig", "doc", "label", "n").join(reps.select(F.col("rep").alias("doc"), F.col("n").cast("int").alias("n"), "sketch"), ["doc", "n"])
+    order = Window.partitionBy("doc", "n").orderBy("sig")
+    earlier = {x: F.coalesce(F.lag("sig", k + 1).over(order), F.lit(0)) for k, x in enumerate(EARLIER)}
+    info = met.select("sig", "doc", "label", "n").withColumns(earlier).join(reps.select(F.col("rep").alias("doc"), F.col("n").cast("int").alias("n"), "sketch"), ["doc", "n"])
     last = cut(close_pairs(info, percent), "pairs")
     compare(last)
     discard(spark, met, last, reps, edges, *tried)
