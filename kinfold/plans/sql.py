@@ -50,7 +50,7 @@ def clean(x: str) -> str:
 ENT = f"""ent AS (SELECT (doc_id % 3 + 1)::TINYINT AS src, 'S' || (doc_id % 3 + 1) || '-' || doc_id AS entity_id, split_part(t, chr(10), 1) AS name,
 length(t) || ' ' || {joined("string_split(t, chr(10))[2:]")} || ', ' || ['texas', 'ohio', 'kerala', 'goa', 'paris'][length(t) % 5 + 1] AS addr,
 CASE lang WHEN 'en' THEN 'US' WHEN 'de' THEN 'India' ELSE coalesce(lang, '') END AS country, t AS text FROM (SELECT *, coalesce(text, '') AS t FROM documents))"""
-TRUTH = "truth AS (SELECT a.entity_id AS s1_id, b.entity_id AS cand_id FROM ent a JOIN ent b ON a.text = b.text WHERE a.src = 1 AND b.src <> 1)"
+TRUTH = "truth AS (SELECT a.entity_id AS s1_id, b.entity_id AS cand_id FROM ent a JOIN ent b ON a.text = b.text WHERE a.src = 1 AND b.src <> 1 AND a.text <> '')"
 
 _tokens = rr(clean("name"), *V.NAME_STEPS)
 _leet = rf"list_transform({split(_tokens)}, lambda x: CASE WHEN regexp_matches(x, '\p{{L}}') AND regexp_matches(x, '\d') THEN translate(x, '{V.LEET_FROM}', '{V.LEET_TO}') ELSE x END)"

@@ -92,7 +92,8 @@ def document_entities(docs: DataFrame) -> DataFrame:
 
 
 def document_truth(entities: DataFrame) -> DataFrame:
-    """(s1_id, cand_id): records of sources 2 and 3 with the text of a record of source 1."""
+    """(s1_id, cand_id): records of sources 2 and 3 with the text of a record of source 1; empty texts are nobody's."""
+    entities = entities.where("text <> ''")
     key = F.sha2(F.col("text").cast("binary"), 256)
     a = entities.where("src = 1").select(F.col("entity_id").alias("s1_id"), key.alias("k"))
     b = entities.where("src <> 1").select(F.col("entity_id").alias("cand_id"), key.alias("k"))
