@@ -337,7 +337,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
     if digits:
         add((m.span() for m in IBAN.finditer(text) if any(c.isdigit() for c in m.group()[4:])), "iban")
         add((m.span() for m in IP.finditer(text)), "ip")
-    if "::" in text or COLONS.search(text):
+    if "::" in text or (text.count(":") > 6 and COLONS.search(text)):
         add((m.span() for m in IP6.finditer(text) if is_ip6(m.group())), "ip")
     if digits:
         for kind, pattern in (("card", CARD), ("ssn", SSN), ("phone", PHONE)):
