@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as X
 from ..functions import vocabulary as V
-from ..plans.session import stored
+from ..plans.session import dealt, stored
 
 
 def _pairs_of(a: Column) -> Column:
@@ -155,7 +155,7 @@ def rerank_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
     from ..functions.similarity import scores
 
     side = lambda x, key: records.select(F.col("entity_id").alias(key), *(F.col(c).alias(f"{c}_{x}") for c in ("core_str", "addr_str", "addr_num")))
-    p = pairs.join(side("a", "s1_id"), "s1_id").join(side("b", "cand_id"), "cand_id")
+    p = dealt(pairs, "s1_id").join(side("a", "s1_id"), "s1_id").join(side("b", "cand_id"), "cand_id")
     p = p.withColumn("kinfold_s", scores({"name": ("tset", F.col("core_str_a"), F.col("core_str_b")), "addr": ("tset", F.col("addr_str_a"), F.col("addr_str_b"))}))
     both = F.size(F.array_intersect("addr_num_a", "addr_num_b"))
     w = W.partitionBy("s1_id")

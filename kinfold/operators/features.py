@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.romanise import NATIVE
 from ..functions.similarity import scores
+from ..plans.session import dealt
 from .learn import word_lists
 
 SIDE = ("name", "name_str", "core_str", "concat", "alias_str", "addr_str", "addr_tok", "addr_num", "core_tok", "state", "addr_missing", "is_domain")
@@ -34,7 +35,7 @@ def attach(pairs: DataFrame, records: DataFrame, columns: tuple[str, ...] = SIDE
     """pairs with the columns of both records, as <column>_a and <column>_b."""
     a = records.where("src = 1").select(F.col("entity_id").alias("s1_id"), *(F.col(c).alias(f"{c}_a") for c in columns))
     b = records.where("src <> 1").select(F.col("entity_id").alias("cand_id"), *(F.col(c).alias(f"{c}_b") for c in columns), F.col("src").alias("src_b"))
-    return pairs.drop("src_b").join(a, "s1_id", "left").join(b, "cand_id", "left")
+    return dealt(pairs.drop("src_b"), "s1_id").join(a, "s1_id", "left").join(b, "cand_id", "left")
 
 
 def labelled(pairs: DataFrame, links: DataFrame) -> DataFrame:

@@ -62,6 +62,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size > WORTH and len(files) + size // GROUP < cores else df
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df by key in as many partitions as a shuffle has. Rows of few bytes that much work is done on would otherwise be put
+    together into one task; a join by the same key that shuffles finds them in place."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written into the folder of spark.checkpoint.dir and read back: later steps neither repeat nor plan it again.
 
