@@ -173,3 +173,25 @@ def test_names_with_native_scripts_and_dictionary(spark):
     assert got["b"]["alias_str"] == "other thing"
     learned = spark.createDataFrame([("कमल", "kamala")], "native string, latin string")
     assert {r["entity_id"]: r["core_str"] for r in normalize.names(df, learned).collect()}["a"] == "kamala traders"
+
+
+def test_word_edges_are_those_of_the_sql(spark):
+    """ß and other letters beyond ASCII end a word in RE2 (SQL); Java takes them for a part of it."""
+    import duckdb
+
+    from kinfold.plans.sql import ADR, ENT, NAM, PLAIN, TOK, joined
+
+    texts = ["Acme dbaß x\n12 stß 40 Elm, noneß 5thß", "acme.comß ltdß\nnearß 77ß x, 88 y", "foo dba bar\rbaz\n7\x0bst 9 rd", "Größe coß pvtß\n33å 44 opp.ß z"]
+    docs = [(i, t, "de") for i, t in enumerate(texts)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", docs)
+    from kinfold.sources.records import document_entities
+
+    e = document_entities(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    n = normalize.plain(normalize.normalized(e, native=False))
+    got = n.orderBy("entity_id").select("entity_id", "name_str", "alias_str", "is_domain", "addr_str", F.array_join("addr_num", " "), "n.norm", "n.suffix", "a.norm", "a.landmark", F.array_join("a.house_numbers", " ")).collect()
+    want = con.execute(
+        f"WITH {ENT}, {TOK}, {NAM}, {ADR}, {PLAIN} SELECT rec.entity_id, name_str, alias_str, rec.is_domain, addr_str, {joined('addr_num')}, n_norm, n_suffix, a_norm, landmark, {joined('house')} FROM rec JOIN pl USING (entity_id) ORDER BY 1"
+    ).fetchall()
+    assert [tuple(r) for r in got] == want
