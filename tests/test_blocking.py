@@ -60,3 +60,16 @@ def test_rows_of_few_small_files_are_dealt_out(spark, tmp_path, monkeypatch):
     assert session.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and session.spread(df).count() == 1000
     monkeypatch.setattr(session, "GROUP", 1)
     assert session.spread(df).rdd.getNumPartitions() == df.rdd.getNumPartitions()
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Candidates go as lists to the records of source 1; sums, distinct pairs and ranks need no other exchange."""
+    rows = [(1, "a", "x", "name", "k"), (1, "b", "x", "name", "k"), (2, "c", "x", "name", "k"), (2, "d", "x", "gram", "m"), (1, "a", "x", "gram", "m"), (3, "c3", "x", "name", "k")]
+    k = spark.createDataFrame(rows, "src byte, entity_id string, country string, kt string, key string")
+    usable = spark.createDataFrame([(2, "x", "name", "k", 0.5, 2), (3, "x", "name", "k", 0.25, 2), (2, "x", "gram", "m", 1.0, 1)], "src byte, country string, kt string, key string, w double, first long")
+    pairs = blocking.shared(k, usable)
+    out = blocking.top(blocking.scored(pairs, ("name", "gram")), "bscore", 25, ("s1_id", "src"))
+    assert "hashpartitioning(s1_id#" in (plan := out._jdf.queryExecution().executedPlan().toString())
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "cand_id" in x.partition("hashpartitioning")[2]]
+    got = {(r.s1_id, r.cand_id, r.bscore) for r in out.collect()}
+    assert got == {("a", "c", 0.5), ("b", "c", 0.5), ("a", "d", 1.0), ("a", "c3", 0.25), ("b", "c3", 0.25)}
