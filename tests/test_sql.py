@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 QUERIES = [
     "block_idf",
     "context_ranks",
+    "key_weights",
 ]
 
 
