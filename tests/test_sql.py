@@ -10,6 +10,7 @@ QUERIES = [
     "block_idf",
     "context_ranks",
     "key_weights",
+    "keys_nw",
 ]
 
 
