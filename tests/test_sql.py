@@ -11,6 +11,7 @@ QUERIES = [
     "context_ranks",
     "key_weights",
     "keys_nw",
+    "native_addresses",
 ]
 
 
