@@ -12,6 +12,7 @@ QUERIES = [
     "key_weights",
     "keys_nw",
     "native_addresses",
+    "one_owner",
 ]
 
 
