@@ -13,6 +13,7 @@ QUERIES = [
     "keys_nw",
     "native_addresses",
     "one_owner",
+    "overlap_features",
 ]
 
 
