@@ -14,6 +14,7 @@ QUERIES = [
     "native_addresses",
     "one_owner",
     "overlap_features",
+    "prune",
 ]
 
 
