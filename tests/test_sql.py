@@ -15,6 +15,7 @@ QUERIES = [
     "one_owner",
     "overlap_features",
     "prune",
+    "scaled_scores",
 ]
 
 
