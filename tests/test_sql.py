@@ -16,6 +16,7 @@ QUERIES = [
     "overlap_features",
     "prune",
     "scaled_scores",
+    "source_context",
 ]
 
 
