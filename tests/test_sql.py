@@ -40,3 +40,16 @@ def test_rows_are_those_of_the_sql(spark, folder, name):
     columns = [c[0] for c in want.description]
     assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r)) for r in entry.queries()[name](spark, folder).select(*columns).collect())
     assert db.execute(f"SELECT count(*) FROM ({entry.oracle_sql()[name]})").fetchone()[0] > 0
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    """Halves in the seventh place, such as that of 41 / 640, which decimals round up."""
+    import duckdb
+
+    from kinfold.plans.queries import six
+
+    ratios = "SELECT a, b, a / b AS x FROM range(-640, 641) t(a), (VALUES (7), (128), (640), (1280)) s(b)"
+    want = {r[:2]: r[2] for r in duckdb.sql(f"SELECT a, b, round(x, 6) FROM ({ratios})").fetchall()}
+    rows = spark.range(-640, 641).selectExpr("id AS a", "explode(array(7, 128, 640, 1280)) AS b").selectExpr("a", "b", "a / b AS x")
+    got = {(r.a, r.b): r.y for r in rows.select("a", "b", six(rows.x).alias("y")).collect()}
+    assert got == want and got[41, 640] == 0.064062
