@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.session import ship, spread
+from ..plans.session import ship, spread, written
 
 #: Texts that an operator holds as Python objects at a time.
 SLICE = 400
@@ -52,7 +52,7 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     """Write df into the shared folder and read it back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.parquet(path)
+    written(df, path)
     back = spark.read.schema(df.schema).parquet(path)
     back.kinfold_path = path
     return back

@@ -68,8 +68,16 @@ def sketch(h: np.ndarray) -> bytes:
     return np.minimum(np.diff(np.searchsorted(h, EDGES), append=len(h)), 255).astype(np.uint8).tobytes()
 
 
+def bits(h: np.ndarray) -> bytes:
+    """A set of bits, the low bits of each hash, of some four places or more a hash."""
+    size = 1 << max(3, (4 * len(h) - 1).bit_length())
+    out = np.zeros(size, dtype=np.uint8)
+    out[(h & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
 def facts(docs: DataFrame, shingle: int) -> DataFrame:
-    """kind 0: (doc_id, n, d1, d2, sketch) of a document; kind 1: (d1: shingle, n: times counted)."""
+    """kind 0: (doc_id, n, d1, d2, sketch, bits) of a document; kind 1: (d1: shingle, n: times counted)."""
     from xxhash import xxh3_128_digest
 
     def run(parts):
@@ -81,7 +89,7 @@ def facts(docs: DataFrame, shingle: int) -> DataFrame:
             for at in range(0, len(keys), 20_000):
                 k, t = keys[at : at + 20_000], times[at : at + 20_000]
                 none = pa.nulls(len(k), pa.int64())
-                yield {"kind": pa.array(np.ones(len(k), np.int8)), "doc_id": none, "n": pa.array(t.astype(np.int64)), "d1": pa.array(k), "d2": none, "sketch": pa.nulls(len(k), pa.binary())}
+                yield {"kind": pa.array(np.ones(len(k), np.int8)), "doc_id": none, "n": pa.array(t.astype(np.int64)), "d1": pa.array(k), "d2": none, "sketch": pa.nulls(len(k), pa.binary()), "bits": pa.nulls(len(k), pa.binary())}
 
         for part in parts:
             rows = []
@@ -89,7 +97,7 @@ def facts(docs: DataFrame, shingle: int) -> DataFrame:
                 h = shingle_set(bytes(x or b""), shingle)
                 d = xxh3_128_digest(h.tobytes())
                 d1, d2 = np.frombuffer(d, dtype=np.int64).tolist()
-                rows.append((0, i, len(h), d1, d2, sketch(h)))
+                rows.append((0, i, len(h), d1, d2, sketch(h), bits(h)))
                 if d1 not in seen:
                     seen.add(d1)
                     buffer.append(h)
@@ -97,11 +105,11 @@ def facts(docs: DataFrame, shingle: int) -> DataFrame:
                 if held >= BLOCK:
                     yield from counts()
                     buffer, held, seen = [], 0, set()
-            yield dict(zip(("kind", "doc_id", "n", "d1", "d2", "sketch"), map(list, zip(*rows, strict=True)), strict=True))
+            yield dict(zip(("kind", "doc_id", "n", "d1", "d2", "sketch", "bits"), map(list, zip(*rows, strict=True)), strict=True))
         if buffer:
             yield from counts()
 
-    return map_columns(docs.select("doc_id", F.col("text").cast("binary").alias("text")), run, "kind byte, doc_id long, n long, d1 long, d2 long, sketch binary")
+    return map_columns(docs.select("doc_id", F.col("text").cast("binary").alias("text")), run, "kind byte, doc_id long, n long, d1 long, d2 long, sketch binary, bits binary")
 
 
 def least_overlap(n: np.ndarray | int, percent: int):
@@ -183,6 +191,43 @@ def joined_apart(rows: DataFrame, table_: DataFrame, on: str, hot: list[int]) ->
     return rows.where(~here).join(table_, on).unionByName(rows.where(here).join(F.broadcast(table_.where(here)), on))
 
 
+def folded(bits: bytes, size: int) -> int:
+    """The bits as a number, of so many bytes: those of the same place modulo size are one."""
+    x, k = int.from_bytes(bits, "little"), 8 * len(bits)
+    while k > 8 * size:
+        k //= 2
+        x = (x >> k) | (x & ((1 << k) - 1))
+    return x
+
+
+def overlapping(nu: int, nv: int, a: bytes, b: bytes, percent: int) -> bool:
+    """Whether sizes and bits leave the threshold within reach: a bit that one set alone has is an element that it alone has."""
+    size = min(len(a), len(b))
+    x, y = folded(a, size), folded(b, size)
+    most = min(nu - x.bit_count(), nv - y.bit_count()) + (x & y).bit_count()
+    return 100 * most >= percent * (nu + nv - most)
+
+
+def in_bits(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose bits leave the threshold within reach. pairs is read more than once."""
+
+    def side(x: str) -> tuple[DataFrame, str, list[int]]:
+        return reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}")), x, large(x)
+
+    def large(x: str) -> list[int]:
+        """Hot documents; only bits of a bounded size may go to all tasks."""
+        found = hot_values(pairs, x, HOT_SETS)
+        return [r[0] for r in reps.where(F.col("rep").isin(found)).where(F.col("n") <= HOT_SIZE).select("rep").distinct().collect()] if found else []
+
+    def run(parts):
+        for p in parts:
+            ok = [k for k, x in enumerate(zip(p["nu"], p["nv"], p["bu"], p["bv"], strict=True)) if overlapping(*x, percent)]
+            yield {k: [p[k][i] for i in ok] for k in "uv"}
+
+    both = joined_apart(joined_apart(pairs, *side("u")), *side("v"))
+    return map_columns(both, run, "u long, v long").distinct()
+
+
 def linked(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose sets reach the threshold, compared in full. pairs is read more than once."""
     ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
@@ -303,16 +348,17 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
     top = both.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "d1").limit(MAX_FREQUENT).select("d1").toArrow()
     frequent = np.sort(top.column("d1").to_numpy().view(np.uint64))
 
-    rows = both.where("kind = 0").select("doc_id", "n", "d1", "d2", "sketch")
+    rows = both.where("kind = 0").select("doc_id", "n", "d1", "d2", "sketch", "bits")
     classes = cut(rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias(TIMES)), "classes")
     total = classes.agg(F.sum(TIMES)).first()[0] or 0
     classed = skewed(rows, classes, ["d1", "d2", "n"], total, "left")
-    members = cut(classed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")), "members")
+    own = [F.when(F.col("doc_id") == F.col("rep"), F.col(x)).alias(x) for x in ("sketch", "bits")]
+    members = cut(classed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), *own), "members")
     per_id = members.where("rep is not null").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("rep")).cast("int")).alias("is_rep"), F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias(TIMES))
     several = cut(per_id.where("least <> most").select("doc_id", "least", TIMES), "several")
     same_id = skewed(members, several, ["doc_id"], total).where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
     # A row for each set that a doc_id with several stands for: two documents are within reach if any of their sets are.
-    reps = cut(members.where("doc_id = rep").select("rep", "n", "sketch").distinct(), "sketches")
+    reps = cut(members.where("doc_id = rep").select("rep", "n", "sketch", "bits").distinct(), "sketches")
 
     copies = per_id.where("is_rep = 0").select("doc_id")
     entries = cut(index(with_ids(docs.where("doc_id is not null"), copies, "left_anti"), frequent, shingle, percent), "index")
@@ -336,7 +382,9 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
 
     def compare(pairs: DataFrame) -> int:
         nonlocal edges, label
-        found = linked(docs, pairs, shingle, percent)
+        near = cut(in_bits(pairs, reps, percent), "near")
+        found = linked(docs, near, shingle, percent)
+        discard(spark, near)
         n = found.count()
         if n:
             old = edges, label

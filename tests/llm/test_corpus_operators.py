@@ -96,6 +96,33 @@ def test_two_sets_that_may_be_linked_share_an_entry():
             assert len(np.intersect1d(op4_jaccard.signatures(x, frequent, 90), op4_jaccard.signatures(y, frequent, 90)))
 
 
+def test_bits_lose_no_link_and_drop_what_slices_let_through():
+    rnd, dropped = np.random.default_rng(4), 0
+    for n in [1, 2, 3, 7, 40, 130, 300, 2500, 2500]:
+        for share in (1.0, 0.95, 0.9, 0.8, 0.7, 0.5, 0.0):
+            common_ = rnd.integers(0, 1 << 63, int(n * share), dtype=np.uint64)
+            a, b = (np.unique(np.concatenate((common_, rnd.integers(0, 1 << 63, k, dtype=np.uint64)))) for k in (n - len(common_), n // 3 + 1))
+            o = len(np.intersect1d(a, b))
+            for percent in (50, 80, 90):
+                got = op4_jaccard.overlapping(len(a), len(b), op4_jaccard.bits(a), op4_jaccard.bits(b), percent)
+                assert got or 100 * o < percent * (len(a) + len(b) - o)
+                sketches = [np.frombuffer(op4_jaccard.sketch(x), dtype=np.uint8)[None] for x in (a, b)]
+                dropped += bool(op4_jaccard.reachable(np.array([len(a)]), np.array([len(b)]), *sketches, percent)[0]) and not got
+    assert dropped > 10
+
+
+def test_writing_an_intermediate_table_leaves_no_shuffle_files(spark):
+    import glob
+
+    top = spark.sparkContext.getConf().get("spark.local.dir", None) or spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    files = lambda: set(glob.glob(f"{top}/**/shuffle_*", recursive=True))
+    before = files()
+    back = common.cut(spark.range(1000).withColumn("k", F.col("id") % 7).groupBy("k").agg(F.sum("id").alias("n")), "test")
+    assert {r["k"]: r["n"] for r in back.collect()} == {k: sum(range(k, 1000, 7)) for k in range(7)}
+    assert not files() - before
+    common.discard(spark, back)
+
+
 def test_jaccard_join_of_odd_tables(spark, docs):
     assert op4_jaccard.join(docs([])).collect() == []
     rows = [(1, "a b c d", "en", "s", 1), (1, "x y z w", "en", "s", 1), (2, "x y z w", "en", "s", 1), (None, "a b c d", "en", "s", 1), (3, None, "en", "s", 0), (4, "", "en", "s", 0)]
