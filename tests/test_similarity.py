@@ -101,3 +101,28 @@ def test_jaro_winkler_equals_duckdb():
     for _ in range(200):
         a, b = ("".join(rnd.choices("abcdef ", k=rnd.randint(1, 80))) for _ in "ab")
         assert s.jaro_winkler(a, b) == pytest.approx(con.execute("SELECT jaro_winkler_similarity(?, ?)", [a, b]).fetchone()[0])
+
+
+def test_token_set_ratio_compares_only_what_is_not_shared(monkeypatch):
+    rnd, cells = random.Random(3), []
+    words = ["".join(rnd.choices("abcde", k=rnd.randint(1, 6))) for _ in range(60)]
+
+    def whole(a: str, b: str) -> float:
+        x, y = set(a.split()), set(b.split())
+        both, left, right = sorted(x & y), sorted(x - y), sorted(y - x)
+        if not x or not y or both and (not left or not right):
+            return 100.0 if x and y else 0.0
+        p, q, shared = " ".join(both + left), " ".join(both + right), len(" ".join(both))
+        return max([s.ratio(p, q), *(100.0 * 2 * shared / (shared + len(z)) for z in (p, q) if both)])
+
+    pairs = [tuple(" ".join(rnd.sample(words, rnd.randint(0, 30))) for _ in "ab") for _ in range(300)]
+    expected = [whole(a, b) for a, b in pairs]
+    assert [s.token_set_ratio(a, b) for a, b in pairs] == expected
+    kept = s.common
+    monkeypatch.setattr(s, "common", lambda places, n, b: cells.append(n * len(b)) or kept(places, n, b))
+    # A sixth of either side is shared: less than what lcs() looks for itself.
+    a, b = " ".join(["aa" * 20, "x" * 200]), " ".join(["aa" * 20, "y" * 200])
+    assert s.token_set_ratio(a, b) == whole(a, b)
+    cells.clear()
+    s.token_set_ratio(a, b)
+    assert sum(cells) <= 200 * 200
