@@ -126,3 +126,18 @@ def test_token_set_ratio_compares_only_what_is_not_shared(monkeypatch):
     cells.clear()
     s.token_set_ratio(a, b)
     assert sum(cells) <= 200 * 200
+
+
+def test_columns_are_compared_without_python_and_exactly_as_the_functions_do(spark):
+    from pyspark.sql import functions as F
+
+    rnd, odd = random.Random(8), "ab é中\U0001f600￮￿ 　\x1c\x85​Z0"
+    rows = [tuple("".join(rnd.choices(odd[: rnd.choice((3, 5, 15))], k=rnd.randint(0, 300))) for _ in "ab") for _ in range(120)]
+    # More rows than a strip has, a common part, and strands and characters of more than two bytes.
+    inner = "".join(rnd.choices("abcdefgh ", k=2500))
+    rows += [(inner, "".join(c for c in inner if rnd.random() < 0.9) + "xyz" * 400), ("ab" * 20, "".join(rnd.choices("abc", k=66_000))), (" \U0001f600b" * 40, "a\U0001f600￿b" * 50), (None, ""), (" ", "a")]
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", s.scores({k: (k, F.col("a"), F.col("b")) for k in s.SCORERS}).alias("s"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
+    for r in df.collect():
+        assert r["s"].asDict() == {k: f(r["a"] or "", r["b"] or "") for k, f in s.SCORERS.items()}
