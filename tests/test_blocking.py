@@ -73,3 +73,15 @@ def test_pairs_are_not_shuffled(spark):
     assert not [x for x in plan.splitlines() if "Exchange" in x and "cand_id" in x.partition("hashpartitioning")[2]]
     got = {(r.s1_id, r.cand_id, r.bscore) for r in out.collect()}
     assert got == {("a", "c", 0.5), ("b", "c", 0.5), ("a", "d", 1.0), ("a", "c3", 0.25), ("b", "c3", 0.25)}
+
+
+@pytest.mark.parametrize(("candidates", "firsts", "sums"), [(1 << 17, 1 << 16, 1 << 20), (30, 20, 100)])
+def test_many_pairs_meet_in_cells(records, monkeypatch, candidates, firsts, sums):
+    """The same rows, ties included, without an exchange of pairs: lists of them filled the disk at 1 GB."""
+    rich, plain = normalize.normalized(records, native=False).persist(), normalize.plain(records).persist()
+    ways = [lambda: blocking.block(rich, 7), lambda: blocking.block_plain(plain, 3)]
+    want = [sorted(map(str, f().collect())) for f in ways]
+    for name, value in {"PAIRS": -1, "CANDIDATES": candidates, "FIRSTS": firsts, "SUMS": sums}.items():
+        monkeypatch.setattr(blocking, name, value)
+    monkeypatch.delattr(blocking, "shared")
+    assert [sorted(map(str, f().collect())) for f in ways] == want and all(want)
