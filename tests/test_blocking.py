@@ -79,7 +79,7 @@ def test_pairs_are_not_shuffled(spark):
 def test_many_pairs_meet_in_cells(records, monkeypatch, candidates, firsts, sums):
     """The same rows, ties included, without an exchange of pairs: lists of them filled the disk at 1 GB."""
     rich, plain = normalize.normalized(records, native=False).persist(), normalize.plain(records).persist()
-    ways = [lambda: blocking.block(rich, 7), lambda: blocking.block_plain(plain, 3)]
+    ways = [lambda: blocking.block(rich, 7), lambda: blocking.block_plain(plain, 3), lambda: blocking.union_candidates(plain)]
     want = [sorted(map(str, f().collect())) for f in ways]
     for name, value in {"PAIRS": -1, "CANDIDATES": candidates, "FIRSTS": firsts, "SUMS": sums}.items():
         monkeypatch.setattr(blocking, name, value)
