@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from kinfold.operators import features, normalize
+from kinfold.operators import blocking, features, normalize
 from kinfold.plans import session
 
 
@@ -37,3 +37,18 @@ def test_plain_features_of_odd_records(spark):
     assert ab.name_char_ngram_jaccard == pytest.approx(3 / 9)
     assert (ac.name_token_jaccard, ac.addr_token_jaccard, ac.name_len_ratio, ac.addr_cand_missing, ac.addr_s1_missing) == (0, 0, 0, 1, 0)
     assert (dc.name_exact, dc.name_len_ratio, dc.name_char_ngram_jaccard, dc.addr_either_missing, dc.addr_exact, dc.name_first_token_match, dc.house_num_any) == (0, 1, 0, 1, 0, 0, 0)
+
+
+@pytest.mark.parametrize("query", ["plain_features"])
+def test_many_records_are_met_by_slices(spark, monkeypatch, query):
+    """The same rows, with the shuffle files of one slice at a time: those of all records at once filled the disk at 1 GB."""
+    rows = [(1 + i % 3, f"S{i}", f"Oak {'elm fir'[i % 5:]} {i % 7} Ltd", f"{i % 9} ash {'road' * (i % 4)} {10000 + i % 8}, Texas", "US") for i in range(60)]
+    e = spark.createDataFrame(rows, "src byte, entity_id string, name string, addr string, country string")
+    r = session.stored(normalize.plain(e) if query == "plain_features" else normalize.normalized(e, native=False))
+    pairs = spark.createDataFrame([(f"S{i}", f"S{k}", 1.0 + i * k % 11) for i in range(0, 60, 3) for k in range(60) if k % 3 and (i + k) % 4 == 0], "s1_id string, cand_id string, bscore double")
+    make = getattr(blocking if query == "rerank_features" else features, query)
+    want, writes, of = sorted(map(str, make(pairs, r).collect())), [], session.written
+    monkeypatch.setattr(features, "SLICE", 700)
+    monkeypatch.setattr(session, "written", lambda df, *more: writes.append(df.columns) or of(df, *more))
+    assert sorted(map(str, make(pairs, r).collect())) == want and len(want) == 200
+    assert sum(len(x) > 7 for x in writes) > 2
