@@ -39,7 +39,7 @@ def test_plain_features_of_odd_records(spark):
     assert (dc.name_exact, dc.name_len_ratio, dc.name_char_ngram_jaccard, dc.addr_either_missing, dc.addr_exact, dc.name_first_token_match, dc.house_num_any) == (0, 1, 0, 1, 0, 0, 0)
 
 
-@pytest.mark.parametrize("query", ["plain_features", "string_features"])
+@pytest.mark.parametrize("query", ["plain_features", "string_features", "rerank_features"])
 def test_many_records_are_met_by_slices(spark, monkeypatch, query):
     """The same rows, with the shuffle files of one slice at a time: those of all records at once filled the disk at 1 GB."""
     rows = [(1 + i % 3, f"S{i}", f"Oak {'elm fir'[i % 5:]} {i % 7} Ltd", f"{i % 9} ash {'road' * (i % 4)} {10000 + i % 8}, Texas", "US") for i in range(60)]
